@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from shelfwise.operators.keyed import top_per_key
-from shelfwise.session import row_count_within
+from shelfwise.session import cut_lineage, row_count_within
 
 BROADCAST_BYTES = 64 << 20
 BLOCK_ROWS = 4096
@@ -147,7 +147,8 @@ def similar_products(products: DataFrame, k: int, ratio: float = 2.0, block_rows
     """
     width = math.log(ratio) * (1 + 1e-6) if ratio > 1 else 0.0
     bucket = F.when(F.col("price") > 0, F.floor(F.log("price") / width)).cast("bigint") if width else F.lit(None).cast("bigint")
-    rows = products.withColumns({"grp": F.coalesce("grp", F.lit("")), "pb": F.coalesce(bucket, F.lit(UNPRICED))})
+    # read three times below: the block sizes and both sides of the block pairs
+    rows = cut_lineage(products.withColumns({"grp": F.coalesce("grp", F.lit("")), "pb": F.coalesce(bucket, F.lit(UNPRICED))}))
     parts = rows.groupBy("grp", "pb").agg(F.ceil(F.count("*") / block_rows).alias("parts"))
     rows = rows.join(parts, ["grp", "pb"]).withColumn("sub", F.pmod(F.xxhash64("product_id"), F.col("parts"))).drop("parts")
     key = ["grp", "qpb", "qsub", "igrp", "ipb", "isub"]

@@ -142,6 +142,17 @@ ROLES: dict[str, str] = {
                CASE WHEN p_partkey % 20 = 0 THEN '(no genres listed)'
                     WHEN p_partkey % 3 = 0 THEN p_type ELSE p_type || '|' || p_brand END AS genres
         FROM {part}""",
+    # one training job per order
+    "jobs": """
+        SELECT o_orderkey AS job_id, CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'running' ELSE 'queued' END AS status,
+               o_orderdate AS updated_at FROM {orders}""",
+    # one small tenant per customer with its training state
+    "accounts": """
+        SELECT 'acct' || c_custkey AS tenant_id,
+               CASE c_mktsegment WHEN 'BUILDING' THEN 'ready_to_train' WHEN 'AUTOMOBILE' THEN 'running' WHEN 'MACHINERY' THEN 'completed'
+                    WHEN 'HOUSEHOLD' THEN 'queued' ELSE CAST(NULL AS STRING) END AS status,
+               c_nationkey % 3 = 0 AS trained
+        FROM {customer}""",
     # training state of every tenant (a region is one tenant)
     "tenants": """
         SELECT r_name AS tenant_id,
@@ -155,9 +166,9 @@ ROLES: dict[str, str] = {
 _NAME = re.compile(r"{(\w+)}")
 
 
-def inputs(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame]:
-    """The named roles or given tables as DataFrames."""
-    found: dict[str, DataFrame] = {}
+def inputs(spark: SparkSession, sf_dir: str, *names: str, given: dict[str, DataFrame] | None = None) -> list[DataFrame]:
+    """The named roles or given tables as DataFrames; ``given`` replaces tables (by streams, say)."""
+    found: dict[str, DataFrame] = dict(given or {})
 
     def get(name: str) -> DataFrame:
         if name not in found:
