@@ -12,30 +12,31 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from shelfwise.operators.keyed import top_per_key
 from shelfwise.session import cut_lineage, row_count_within
 
 BROADCAST_BYTES = 64 << 20
 BLOCK_ROWS = 4096
-CELLS = 4_000_000  # scores held at once in one task
+CELLS = 1_000_000  # scores held at once in one task
 UNPRICED = -(2 ** 40)  # price bucket of products without a usable price
 
 
 def best_columns(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row, column and score of the ``k`` best finite cells per row; the lower column wins a tie."""
-    scores = np.round(scores, 9)
     n = scores.shape[1]
     if n == 0 or scores.shape[0] == 0:
         return np.empty(0, int), np.empty(0, int), np.empty(0)
     if k < n:
-        limit = -np.partition(-scores, k - 1, axis=1)[:, k - 1]
-        keep = scores >= limit[:, None]
+        # rounding cannot move a score by more than 1e-9, so only these cells need it
+        limit = np.partition(scores, n - k, axis=1)[:, n - k]
+        rows, cols = np.nonzero(scores >= np.where(np.isfinite(limit), limit - 1e-9, limit)[:, None])
     else:
-        keep = np.ones(scores.shape, bool)
-    rows, cols = np.nonzero(keep & np.isfinite(scores))
-    vals = scores[rows, cols]
+        rows, cols = np.nonzero(np.ones(scores.shape, bool))
+    vals = np.round(scores[rows, cols], 9)
+    usable = np.isfinite(vals)
+    rows, cols, vals = rows[usable], cols[usable], vals[usable]
     order = np.lexsort((cols, -vals, rows))
     rows, cols, vals = rows[order], cols[order], vals[order]
     starts = np.searchsorted(rows, rows)
@@ -82,12 +83,14 @@ def top_matches(queries: DataFrame, items: DataFrame, k: int, dims: int, exclude
     """
     schema = "qid string, iid string, score double"
     spark = queries.sparkSession
+    items = cut_lineage(items.select("iid", "vec"))  # counted, then read again
     fits = row_count_within(items, broadcast_bytes // (8 * (dims + 8)))
     if fits is not None:
-        rows = sorted((r.iid, r.vec) for r in items.select("iid", "vec").collect())  # size checked above
+        rows = sorted((r.iid, r.vec) for r in items.collect())  # size checked above
         shared = spark.sparkContext.broadcast((
             np.asarray([r[0] for r in rows], dtype=object),
             np.asarray([r[1] for r in rows], dtype=np.float64).reshape(-1, dims)))
+        queries = queries.repartition(even_tasks(spark), "qid")
         if exclude is not None:
             # at most one entry per item, and the items were just counted
             owned = exclude.groupBy("qid").agg(F.collect_list("iid").alias("owned"))
@@ -106,12 +109,24 @@ def top_matches(queries: DataFrame, items: DataFrame, k: int, dims: int, exclude
     return top_per_key(scored, ["qid"], [F.col("score").desc(), F.col("iid")], k)
 
 
+def even_tasks(spark: SparkSession) -> int:
+    """Task count for work whose cost does not show in its bytes.
+
+    An explicit count keeps adaptive execution from merging small but expensive partitions.
+    """
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def _numbers(n: int) -> Column:
+    return F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))
+
+
 def _blocked(queries, items, k, dims, exclude, block_rows, schema) -> DataFrame:
     q_blocks = max(1, math.ceil(queries.count() / block_rows))
     i_blocks = max(1, math.ceil(items.count() / block_rows))
     qb = F.pmod(F.xxhash64("qid"), F.lit(q_blocks)).alias("qb")
     ib = F.pmod(F.xxhash64("iid"), F.lit(i_blocks))
-    left = queries.select("qid", "vec", qb, F.explode(F.sequence(F.lit(0), F.lit(i_blocks - 1))).cast("bigint").alias("ib"))
+    left = queries.select("qid", "vec", qb, F.explode(_numbers(i_blocks)).alias("ib"))
     if exclude is not None:
         # grouped per query and item block: never longer than one block
         owned = exclude.select("qid", "iid", ib.alias("ib")).groupBy("qid", "ib").agg(F.collect_list("iid").alias("owned"))
@@ -119,7 +134,7 @@ def _blocked(queries, items, k, dims, exclude, block_rows, schema) -> DataFrame:
     else:
         left = left.withColumn("owned", F.lit(None).cast("array<string>"))
     right = items.select(F.col("iid").alias("iid"), F.col("vec").alias("ivec"), ib.alias("iib"),
-                         F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).cast("bigint").alias("iqb"))
+                         F.explode(_numbers(q_blocks)).alias("iqb"))
 
     def score(a: pa.Table, b: pa.Table) -> pa.Table:
         empty = pa.schema([("qid", pa.string()), ("iid", pa.string()), ("score", pa.float64())]).empty_table()
@@ -131,6 +146,8 @@ def _blocked(queries, items, k, dims, exclude, block_rows, schema) -> DataFrame:
                                ids[order], matrix(b.column("ivec"), dims)[order], k))
         return pa.Table.from_batches(out) if out else empty
 
+    tasks = even_tasks(queries.sparkSession)
+    left, right = left.repartition(tasks, "qb", "ib"), right.repartition(tasks, "iqb", "iib")
     return left.groupBy("qb", "ib").cogroup(right.groupBy("iqb", "iib")).applyInArrow(score, schema)
 
 
@@ -186,7 +203,9 @@ def similar_products(products: DataFrame, k: int, ratio: float = 2.0, block_rows
                                  "other_id": pa.array(yid[c].tolist(), pa.string()), "score": pa.array(v, pa.float64())}))
         return pa.concat_tables(out)
 
-    scored = a.groupBy(*key).cogroup(b.groupBy(*[f"_{c}" for c in key])).applyInArrow(score, schema)
+    other = [f"_{c}" for c in key]
+    tasks = even_tasks(products.sparkSession)
+    scored = a.repartition(tasks, *key).groupBy(*key).cogroup(b.repartition(tasks, *other).groupBy(*other)).applyInArrow(score, schema)
     return top_per_key(scored, ["product_id"], [F.col("score").desc(), F.col("other_id")], k)
 
 

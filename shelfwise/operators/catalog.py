@@ -7,11 +7,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 from shelfwise.functions.ids import blank_to_null, strip
 from shelfwise.functions.text import clean_price
 from shelfwise.operators.cleaning import is_active, stock_number
-from shelfwise.operators.keyed import first_per_key
+from shelfwise.operators.keyed import first_per_key, global_rank
 
 STANDARD_COLUMNS = ("product_id", "product_name", "category", "status", "brand", "price", "in_stock", "description",
                     "image_url", "product_url", "created_at", "updated_at")
 MAX_BULK_IDS = 500
+SHALLOW_ROWS = 100_000
 
 
 def feed_upsert(existing: DataFrame, feed: DataFrame, order: Column, mode: str = "upsert") -> DataFrame:
@@ -167,7 +168,11 @@ def page(catalog: DataFrame, number: int, size: int, order: str = "product_id")
     size = max(1, min(100, size))
     pages = -(-total // size)
     number = max(1, min(number, pages)) if pages else 1
-    rows = catalog.orderBy(order).offset((number - 1) * size).limit(size)
+    start = (number - 1) * size
+    if start <= SHALLOW_ROWS:
+        rows = catalog.orderBy(order).offset(start).limit(size)
+    else:  # a deep page would pull all rows before it to one place
+        rows = global_rank(catalog, [F.col(order).asc()], "_at").where(F.col("_at").between(start + 1, start + size)).drop("_at")
     return rows.withColumns({"total": F.lit(total), "total_pages": F.lit(pages), "page": F.lit(number)})
 
 

@@ -72,7 +72,7 @@ def top_similar_sources(spark, sf):
     WITH w AS (SELECT * FROM signals WHERE {WINDOW}), s AS (SELECT DISTINCT tenant_id, x AS source FROM w CROSS JOIN (VALUES ('similar'), ('recommendation')) v(x)),
     r AS (SELECT tenant_id, CASE WHEN kind = 'similar' THEN 'similar' ELSE 'recommendation' END AS source, count(*) AS requests FROM w WHERE type = 'recommendation' GROUP BY 1, 2),
     c AS (SELECT tenant_id, source, count(DISTINCT rec_id) AS clicked FROM w WHERE type = 'event' AND event_type = 'click' AND source IN ('similar', 'recommendation') GROUP BY 1, 2)
-    SELECT tenant_id, source, coalesce(requests, 0) AS requests, coalesce(clicked, 0) AS clicked, round(least(1.0, coalesce(clicked, 0) / requests), 4) AS ctr
+    SELECT tenant_id, source, coalesce(requests, 0) AS requests, coalesce(clicked, 0) AS clicked, CASE WHEN requests > 0 THEN round(least(1.0, coalesce(clicked, 0) / requests), 4) END AS ctr
     FROM s LEFT JOIN r USING (tenant_id, source) LEFT JOIN c USING (tenant_id, source)""")
 def ctr_by_source(spark, sf):
     return tel.ctr_by_source(signals(spark, sf), TODAY, DAYS)

@@ -71,7 +71,7 @@ def parse_xml_feed(df: DataFrame, payload: str) -> DataFrame:
     """
     element = r"(?is)<(?:\w+:)?(?:item|entry)(?:\s[^>]*)?>.*?</(?:\w+:)?(?:item|entry)\s*>"
     rows = df.select(F.explode(F.regexp_extract_all(F.col(payload), F.lit(element), F.lit(0))).alias("xml"))
-    child = r"(?is)<(?:\w+:)?(\w+)(?:\s[^>]*)?>\s*([^<]*?)\s*</"
+    child = r"(?is)<(?:\w+:)?(\w+)(?:\s[^>]*)?>\s*((?:<!\[CDATA\[.*?\]\]>|[^<])*?)\s*</"
     inner = F.regexp_replace("xml", r"(?is)^<[^>]*>", "")
     found = rows.select(F.transform(
         F.arrays_zip(F.regexp_extract_all(inner, F.lit(child), F.lit(1)).alias("k"), F.regexp_extract_all(inner, F.lit(child), F.lit(2)).alias("v")),
