@@ -1 +1,8 @@
 """Spark-native recommendation analytics."""
+
+import sys
+
+from pyspark.cloudpickle import cloudpickle
+
+# task functions travel by value, so executors need no copy of this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -4,9 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
+from typing import TypeVar
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
+T = TypeVar("T")
+R = TypeVar("R")
+
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -66,3 +73,9 @@ def row_count_within(df: DataFrame, limit: int) -> int | None:
     """Exact row count when it is at most ``limit``, else ``None`` (stops early)."""
     n = df.limit(limit + 1).count()
     return n if n <= limit else None
+
+
+def side_by_side(spark: SparkSession, run: Callable[[T], R], inputs: Iterable[T], at_once: int = 4) -> list[R]:
+    """Results in input order of independent driver steps; Spark fills idle cores with their jobs."""
+    with ThreadPoolExecutor(at_once) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(spark)(run), x) for x in inputs]]
