@@ -518,7 +518,13 @@ def leaderboard(spark, sf):
     return board.select("model", *[F.round(c, 6).alias(c) for c in evaluate.METRICS], "status", "is_winner")
 
 
-@query("qualitative_examples")
+@query("qualitative_examples", "shoppers", "bought", "pairs", "shelf", sql=f"""
+    WITH lists AS MATERIALIZED {RECS}, chosen AS (SELECT DISTINCT customer_id FROM {test_rows()} ORDER BY 1 LIMIT 3),
+    own AS (SELECT customer_id, string_agg(DISTINCT product_name, ', ' ORDER BY product_name) AS owned FROM {TRAIN} JOIN shelf USING (product_id) WHERE customer_id IN (FROM chosen) GROUP BY 1),
+    held AS (SELECT customer_id, string_agg(DISTINCT product_name, ', ' ORDER BY product_name) AS held_out FROM {test_rows()} JOIN shelf USING (product_id) GROUP BY 1),
+    rec AS (SELECT customer_id, model, string_agg(product_name, ', ' ORDER BY rank) AS recommended FROM lists JOIN shelf USING (product_id) GROUP BY 1, 2)
+    SELECT customer_id, c_acctbal, c_mktsegment, owned, held_out, model, recommended FROM chosen JOIN shoppers USING (customer_id) LEFT JOIN own USING (customer_id)
+        LEFT JOIN held USING (customer_id) LEFT JOIN rec USING (customer_id)""")
 def qualitative_examples(spark, sf):
     shoppers, shelf = inputs(spark, sf, "shoppers", "shelf")
     train, test, lists = two_models(spark, sf)

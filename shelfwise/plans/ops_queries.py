@@ -206,13 +206,20 @@ def profile_confidence(spark, sf):
     return out.select("table_name", "column_name", "confidence", "needs_review", "review_reason")
 
 
-@query("column_roles", *ROLES_OF, sql="""
-    SELECT * FROM (VALUES ('till', 'seq', 'transactional', 'feature'), ('till', 'InvoiceNo', 'transactional', 'invoice'), ('till', 'CustomerID', 'transactional', 'customer_id'),
-        ('till', 'StockCode', 'transactional', 'product_id'), ('till', 'Description', 'transactional', 'description'), ('till', 'Quantity', 'transactional', 'quantity'),
-        ('till', 'InvoiceDate', 'transactional', 'excluded'), ('raw_customers', 'seq', 'services', 'feature'), ('raw_customers', 'customerID', 'services', 'customer_id'),
-        ('raw_customers', 'balance', 'services', 'feature'), ('raw_customers', 'segment', 'services', 'feature'), ('raw_customers', 'nation', 'services', 'feature'),
-        ('services', 'customerID', 'services', 'customer_id'), ('services', 'ExpressDelivery', 'services', 'service'), ('services', 'PhoneService', 'services', 'service'),
-        ('services', 'StreamingTV', 'services', 'service'), ('services', 'InternetService', 'services', 'service')) t(table_name, column_name, layout, role)""")
+def first_at(names, extra="position <> id0 AND null_percentage < 99"):
+    return f"min(position) FILTER (regexp_matches(lower(column_name), {words(names)}) AND {extra}) OVER (PARTITION BY table_name)"
+
+
+@query("column_roles", *ROLES_OF, sql=f"""
+    WITH p AS MATERIALIZED (SELECT * FROM {DTYPES}),
+    i AS (SELECT table_name, coalesce(min(position) FILTER (is_id_column), min(position) FILTER (contains(lower(column_name), 'id') AND unique_count > 1), arg_max(position, (unique_count, -position))) AS id0 FROM p GROUP BY 1),
+    c AS (SELECT *, {first_at(profile.PRODUCT_WORDS)} AS prod, {first_at(profile.INVOICE_WORDS)} AS inv, {first_at(profile.NAME_WORDS)} AS nm, {first_at(profile.QUANTITY_WORDS)} AS qty,
+          {first_at(profile.CUSTOMER_WORDS, 'null_percentage < 99')} AS cust, count(*) FILTER (is_binary_service AND position <> id0) OVER (PARTITION BY table_name) AS services FROM p JOIN i USING (table_name)),
+    l AS (SELECT *, prod IS NOT NULL AND (inv IS NOT NULL OR qty IS NOT NULL OR services = 0) AS sales FROM c),
+    f AS (SELECT *, CASE WHEN sales THEN coalesce(cust, id0) ELSE id0 END AS id1, CASE WHEN sales AND cust <> id0 THEN coalesce(inv, id0) ELSE inv END AS inv1 FROM l)
+    SELECT table_name, column_name, CASE WHEN sales THEN 'transactional' ELSE 'services' END AS layout, CASE WHEN position = id1 THEN 'customer_id' WHEN NOT sales THEN CASE WHEN is_binary_service THEN 'service' ELSE 'feature' END
+        WHEN position = prod THEN 'product_id' WHEN position = nm THEN 'description' WHEN position = inv1 THEN 'invoice' WHEN position = qty THEN 'quantity'
+        WHEN regexp_matches(lower(column_name), {words(profile.EXCLUDED_WORDS)}) OR null_percentage >= 99 THEN 'excluded' ELSE 'feature' END AS role FROM f""")
 def column_roles(spark, sf):
     return profile.column_roles(all_profiles(spark, sf)).drop("position")
 

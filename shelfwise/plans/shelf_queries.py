@@ -82,7 +82,8 @@ def sim_topk_same_category(spark, sf):
     return sim.top_similar(vectors(spark, sf), 4)
 
 
-@query("sim_topk_global")
+@query("sim_topk_global", "shelf", sql=f"""
+    WITH vec AS MATERIALIZED (SELECT * FROM {VECTORS}) SELECT * FROM {matches_sql(4, same_category=False)}""")
 def sim_topk_global(spark, sf):
     return sim.top_similar(vectors(spark, sf), 4, same_category=False)
 
@@ -143,7 +144,23 @@ def sim_topup(spark, sf):
     return sim.popular_fill(shelf.where(~cleaning.is_active()), active(spark, sf), serve.popularity(bought), 4)
 
 
-@query("sim_result_rows")
+LABELS = "CASE k WHEN 'ram_gb' THEN 'RAM (GB)' WHEN 'storage_gb' THEN 'Storage (GB)' WHEN 'weight_g' THEN 'Weight (g)' WHEN 'size_cm' THEN 'Size Cm' END"
+
+
+@query("sim_result_rows", "shelf", "bought", "clicks", sql=f"""
+    WITH vec AS MATERIALIZED (SELECT * FROM {VECTORS}), m AS MATERIALIZED (SELECT * FROM {matches_sql(4)}), sp AS MATERIALIZED (SELECT * FROM {SPEC_ROWS.format(source=A)}),
+    txt AS (SELECT product_id, string_agg({LABELS} || '=' || CAST(v AS BIGINT), ', ' ORDER BY pos) AS specs FROM sp GROUP BY 1),
+    pop AS (SELECT product_id, count(*) AS n FROM bought GROUP BY 1),
+    dead AS (SELECT product_id, category, price, 'inactive_product' AS reason FROM shelf WHERE NOT {q.ACTIVE}
+             UNION ALL SELECT DISTINCT 'x' || trim(product_id), NULL, NULL, 'unknown_product' FROM clicks WHERE trim(product_id) <> ''),
+    fill AS (SELECT d.product_id, a.product_id AS other_id, d.category, d.price, d.reason, row_number() OVER (PARTITION BY d.product_id ORDER BY coalesce(n, 0) DESC, a.product_id) AS rank
+             FROM dead d JOIN {A} a ON (d.category IS NULL OR lower(d.category) = lower(a.category)) AND a.product_id <> d.product_id LEFT JOIN pop ON pop.product_id = a.product_id),
+    r AS (SELECT product_id, other_id, rank, round(similarity, 2) AS similarity, CASE WHEN len({WHY}) = 0 THEN 'Similar attributes' ELSE array_to_string({WHY}, '; ') END AS reasons,
+              (SELECT price FROM {A} t WHERE t.product_id = x.product_id) AS target, NULL AS reason FROM {REASONS} x
+          UNION ALL SELECT product_id, other_id, rank, 0, CASE WHEN category IS NULL THEN 'Popular product' ELSE 'Popular in this category' END, price, reason FROM fill WHERE rank <= 4)
+    SELECT r.product_id, r.rank, r.other_id, c.product_name, c.category, c.brand, c.price, r.similarity, r.reasons, coalesce(txt.specs, '') AS specs, round(c.price - target, 2) AS price_diff,
+        CASE WHEN target > 0 THEN round((c.price - target) / target * 100, 1) END AS price_diff_pct, reason AS fallback_reason
+    FROM r JOIN {A} c ON c.product_id = r.other_id LEFT JOIN txt ON txt.product_id = r.other_id""")
 def sim_result_rows(spark, sf):
     shelf, bought, clicks = inputs(spark, sf, "shelf", "bought", "clicks")
     unknown = clicks.where(F.trim("product_id") != "").select(F.concat(F.lit("x"), F.trim("product_id")).alias("product_id")).distinct()
@@ -259,7 +276,7 @@ def product_changes_result(spark, sf):
     return out.select("product_id", "product_name", "category", "price", "status", "updated_at")
 
 
-@query("snapshot_and_undo")
+@query("snapshot_and_undo", "shelf", sql="SELECT * FROM shelf")
 def snapshot_and_undo(spark, sf):
     """Two commits and one undo: the result is the catalogue after the first commit."""
     from shelfwise.session import durable_path
