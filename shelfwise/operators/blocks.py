@@ -217,11 +217,13 @@ def _block_pairs(blocks: DataFrame, key: list[str]) -> DataFrame:
         "*", F.explode(F.array(F.col("qpb") - 1, F.col("qpb"), F.col("qpb") + 1, F.lit(UNPRICED))).alias("ipb"))
     unpriced = left.where(F.col("qpb") == UNPRICED)
     own, anyone = F.col("grp") != "", F.col("grp") == ""
+    # one entry per group and price step: a product with neither is compared with all of them
+    places = right.agg(F.collect_set(F.struct("igrp", "ipb")).alias("places"))
     return (
         priced.where(own).withColumn("igrp", F.col("grp")).join(right, ["igrp", "ipb"]).select(*key)
         .unionByName(priced.where(anyone).join(right, "ipb").select(*key))
         .unionByName(unpriced.where(own).withColumn("igrp", F.col("grp")).join(right, "igrp").select(*key))
-        .unionByName(unpriced.where(anyone).withColumn("one", F.lit(1)).join(right.withColumn("one", F.lit(1)), "one").select(*key))
+        .unionByName(unpriced.where(anyone).select("*", F.inline(places.scalar())).join(right, ["igrp", "ipb"]).select(*key))
     )
 
 

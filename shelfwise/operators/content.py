@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from shelfwise.functions.values import let
 from shelfwise.operators.blocks import top_matches
-from shelfwise.operators.encode import dummy_columns, scaled_columns, vocabulary
+from shelfwise.operators.encode import dummy_columns, vocabulary, with_scaled
 
 
 @dataclass(frozen=True)
@@ -21,11 +21,12 @@ class ContentModel:
 
 def customer_vectors(customers: DataFrame, numeric: Sequence[str], categorical: Sequence[str]) -> tuple[DataFrame, tuple[str, ...]]:
     """Scaled numeric features followed by indicator columns, as one array per customer."""
-    columns: dict[str, Column] = dict(scaled_columns(customers, numeric)) if numeric else {}
-    columns.update(dummy_columns(vocabulary(customers, categorical)))
-    if not columns:
+    indicators = dummy_columns(vocabulary(customers, categorical))
+    names = (*numeric, *indicators)
+    if not names:
         raise ValueError("no customer features")
-    return customers.select("customer_id", F.array(*columns.values()).alias("vec")), tuple(columns)
+    rows = with_scaled(customers.select("customer_id", *dict.fromkeys([*numeric, *categorical])), numeric) if numeric else customers
+    return rows.select("customer_id", F.array(*[F.col(c) for c in numeric], *indicators.values()).alias("vec")), names
 
 
 def join_vectors(interactions: DataFrame, vectors: DataFrame) -> DataFrame:

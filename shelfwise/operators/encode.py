@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -61,24 +61,25 @@ def resolve_features(df: DataFrame, columns: Sequence[str]) -> tuple[Feature, ..
         for c in columns if c in numeric or values.get(c))
 
 
-def scaled_columns(df: DataFrame, columns: Sequence[str]) -> Mapping[str, Column]:
-    """(x - mean) / population deviation with null as 0 and a flat column left unscaled.
+def with_scaled(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Replaces the columns by (x - mean) / population deviation: null counts as 0, a flat column is only
+    centred.
 
-    Mean and deviation come from one aggregate that Spark runs as a scalar subquery.
+    Mean and deviation of all columns come from one aggregate that Spark runs once, as a scalar subquery.
     """
     filled = {c: F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")), F.lit(0.0)) for c in columns}
-    stats = df.agg(F.struct(*[F.struct(F.avg(x).alias("mean"), F.stddev_pop(x).alias("dev")).alias(f"c{i}")
-                              for i, x in enumerate(filled.values())]).alias("s"))
-    s = stats.scalar()
-    out = {}
-    for i, (c, x) in enumerate(filled.items()):
-        dev = s[f"c{i}"]["dev"]
-        out[c] = (x - s[f"c{i}"]["mean"]) / F.when(dev > 0, dev).otherwise(1.0)
-    return out
+    stats = df.agg(F.array(*[F.struct(F.avg(x).alias("mean"), F.stddev_pop(x).alias("dev")) for x in filled.values()]).alias("s"))
+    held = df.withColumn("_stats", stats.scalar())
+
+    def scale(i: int, x: Column) -> Column:
+        s = F.get("_stats", F.lit(i))
+        return (x - s["mean"]) / F.when(s["dev"] > 0, s["dev"]).otherwise(1.0)
+
+    return held.withColumns({c: scale(i, x) for i, (c, x) in enumerate(filled.items())}).drop("_stats")
 
 
 def standard_scale(df: DataFrame, columns: Sequence[str], keys: Sequence[str]) -> DataFrame:
-    return df.select(*keys, *[e.alias(c) for c, e in scaled_columns(df, columns).items()])
+    return with_scaled(df, columns).select(*keys, *columns)
 
 
 def vocabulary(df: DataFrame, columns: Sequence[str]) -> list[tuple[str, str]]:
