@@ -16,7 +16,9 @@ def strip(c: Column) -> Column:
 
 def clean_id(c: Column) -> Column:
     """Trimmed text, null as '', integral decimals without their '.0'."""
-    return F.coalesce(F.regexp_replace(strip(c), r"^(-*\d+)\.0$", "$1"), F.lit(""))
+    s = strip(c)
+    # the pattern only runs on the few texts that can match it
+    return F.coalesce(F.when(F.endswith(s, F.lit(".0")), F.regexp_replace(s, r"^(-*\d+)\.0$", "$1")).otherwise(s), F.lit(""))
 
 
 def has_id(c: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from shelfwise.functions.ids import has_id, strip
 from shelfwise.operators.keyed import global_rank, top_per_key
+from shelfwise.session import cut_lineage
 
 
 def over_fetch(n: int) -> int:
@@ -51,7 +52,8 @@ def unseen_popular(customers: DataFrame, owned: DataFrame, ranked: DataFrame, k:
     """
     total = ranked.agg(F.count("*").alias("n"))
     positions = ranked.select("product_id", "position")
-    have = owned.select("customer_id", "product_id").join(positions, "product_id").select("customer_id", "position")
+    # used for the counts and again for the anti join
+    have = cut_lineage(owned.select("customer_id", "product_id").join(positions, "product_id").select("customer_id", "position"))
     m = have.groupBy("customer_id").agg(F.count("*").alias("m"))
     reach = F.least(F.coalesce("m", F.lit(0)) + k, total.scalar())
     wanted = (

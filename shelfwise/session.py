@@ -24,6 +24,9 @@ SETTINGS = {
 }
 
 
+_LOCAL_DIRS: dict[str, str] = {}
+
+
 def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str = "12g") -> SparkSession:
     """A session for tests and benches; on a cluster the submitted session is used as it is."""
     builder = (
@@ -51,9 +54,10 @@ def durable_dir(spark: SparkSession) -> str:
         return configured
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
-    path = tempfile.mkdtemp(prefix="shelfwise-")
-    spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL_DIRS:
+        _LOCAL_DIRS[app] = tempfile.mkdtemp(prefix="shelfwise-")
+    return _LOCAL_DIRS[app]
 
 
 def durable_path(spark: SparkSession, name: str) -> str:
