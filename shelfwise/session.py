@@ -61,8 +61,9 @@ def durable_dir(spark: SparkSession) -> str:
 
 
 def durable_path(spark: SparkSession, name: str) -> str:
-    """A new, unused folder below :func:`durable_dir`."""
-    return f"{durable_dir(spark).rstrip('/')}/shelfwise/{name}-{uuid.uuid4().hex[:12]}"
+    """A new, unused folder below :func:`durable_dir`, grouped by application."""
+    app = spark.sparkContext.applicationId
+    return f"{durable_dir(spark).rstrip('/')}/shelfwise/{app}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
