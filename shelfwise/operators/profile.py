@@ -133,9 +133,8 @@ def column_roles(profiles: DataFrame, table: str = "table_name") -> DataFrame:
     """
     name = F.col("column_name")
     w = W.partitionBy(table)
-    by_place = w.orderBy("position")
 
-    def first(flag: Column, extra: Sequence[Column] = ()) -> Column:
+    def first(flag: Column) -> Column:
         """Position of the first flagged column of the table."""
         return F.min(F.when(flag, F.col("position"))).over(w)
 

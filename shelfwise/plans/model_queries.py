@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from shelfwise.config import Feature
-from shelfwise.operators import cleaning, content, evaluate, factors, ranking, serve
+from shelfwise.operators import cleaning, content, evaluate, factors, ranking
 from shelfwise.plans import sqltext as q
 from shelfwise.plans.core_queries import CATEGORICAL, CONTENT, NUMERIC, SEGMENTS, content_model
 from shelfwise.plans.registry import query
