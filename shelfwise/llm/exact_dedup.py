@@ -114,8 +114,8 @@ def suspect_fingerprints(docs: DataFrame, fingerprint: Column, bits: int, owners
 def copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(text_sha256, keep_id, group_size) of every text that at least two rows share, compared byte by byte."""
     n = docs.count()
-    bits = min(61, max(1, n).bit_length() + SPARE_BITS)
-    owners = 1 << max(4, (n // OWNER_ROWS).bit_length())
+    owner_bits = max(4, (n // OWNER_ROWS).bit_length())
+    owners, bits = 1 << owner_bits, min(61, max(owner_bits + 1, n.bit_length() + SPARE_BITS))
     text = F.coalesce(F.col(text_col), F.lit(""))
     fingerprint = F.shiftrightunsigned(F.xxhash64(text), 64 - bits)
     suspects = suspect_fingerprints(docs, fingerprint, bits, owners)
