@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from shelfwise.llm import exact_dedup, packing, sharding
+from shelfwise.llm import exact_dedup, packing, sharding, token_counts
 from shelfwise.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,3 +48,18 @@ def tokenizer_file(name: str) -> str:
 @query("op10_packing")
 def op10_packing(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json")).drop("loss_tokens")
+
+
+# e-mail addresses, long numbers, repeated marks
+REDACTIONS = [(r"[\w.+-]+@[\w-]+\.[\w.]+", "[mail]"), (r"\d[\d\- ]{5,}\d", "[number]"), (r"[!#$%&*]{2,}", "")]
+
+
+@query("op1_token_counts")
+def op1_token_counts(spark, sf_dir):
+    """Token counts of every document before and after its personal data and runs of marks are taken out."""
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents")
+    ranks, pattern = tokenizer_file("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    trees = token_counts.build_trees(docs, ranks, pattern)
+    return token_counts.apply_edits(trees, token_counts.redactions(docs, REDACTIONS), ranks, pattern, with_text=False)
