@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from shelfwise.llm import exact_dedup, packing, sharding, token_counts
+from shelfwise.llm import exact_dedup, mixing, packing, sharding, token_counts
 from shelfwise.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,3 +63,9 @@ def op1_token_counts(spark, sf_dir):
     ranks, pattern = tokenizer_file("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     trees = token_counts.build_trees(docs, ranks, pattern)
     return token_counts.apply_edits(trees, token_counts.redactions(docs, REDACTIONS), ranks, pattern, with_text=False)
+
+
+@query("op2_mixing")
+def op2_mixing(spark, sf_dir):
+    mix = mixing.mix_sources(table(spark, sf_dir, "documents"), [5.0, 2.0, 1.0])
+    return mix.taken().join(F.broadcast(mix.sources.drop("source")), "source_no").select("doc_id", "size", "source_size", "target", "taken", "source")
