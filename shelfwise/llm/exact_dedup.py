@@ -108,7 +108,8 @@ def suspect_fingerprints(docs: DataFrame, fingerprint: Column, bits: int, owners
     shift = bits - (owners - 1).bit_length()
     lists = cut_lineage(docs.select(fingerprint.alias("fp")).mapInArrow(_send(shift), spark_schema(LISTS)))
     bitmaps = lists.groupBy("owner").applyInArrow(_answer, spark_schema(BITMAPS))
-    return lists.drop("twice").join(bitmaps, ["list_id", "owner"]).mapInArrow(_receive(shift), spark_schema(FOUND)).distinct()
+    found = lists.drop("twice").join(bitmaps, ["list_id", "owner"]).mapInArrow(_receive(shift), spark_schema(FOUND)).distinct()
+    return cut_lineage(found)  # written, so Spark knows its size and moves only suspect texts while it is small
 
 
 def copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
