@@ -51,7 +51,7 @@ def op10_packing(spark, sf_dir):
 
 
 # e-mail addresses, long numbers, repeated marks
-REDACTIONS = [(r"[\w.+-]+@[\w-]+\.[\w.]+", "[mail]"), (r"\d[\d\- ]{5,}\d", "[number]"), (r"[!#$%&*]{2,}", "")]
+REDACTIONS = [(r"(?<![\w.+-])[\w.+-]+@[\w-]+\.[\w.]+", "@", "[mail]"), (r"(?<!\d)\d[\d\- ]{5,}\d", "", "[number]"), (r"[!#$%&*]{2,}", "", "")]
 
 
 @query("op1_token_counts")

@@ -3,14 +3,14 @@
 The state of a document is its text and a segment tree: leaves are runs of pre-tokens, every node holds
 the characters and tokens below it.  An edit finds its leaves by descending the character sums, the text
 from the start of the first one is split again until a cut meets an old leaf boundary behind the edit
-(pre-token patterns look ahead by one character at most, so everything beyond stays as it is), and only
-the sums above the touched leaves change.  Documents and edits meet by one shuffle and are worked
+(pre-token patterns look little ahead and never behind, so everything beyond stays as it is), and only
+the sums above the touched leaves change.  Edits mark their leaves, so a region that many edits touch is
+encoded once.  Documents and edits meet by one shuffle and are worked
 through as a stream, an edit at a time.
 """
 
 from __future__ import annotations
 
-import bisect
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,13 +20,12 @@ from pyspark.sql import DataFrame, functions as F
 from shelfwise.llm.common import Out, rows, spark_schema, text_bytes
 
 LEAF = 32  # pre-tokens of a new leaf
-MAX_LEAF_CHARS = 4096  # a leaf that has grown beyond this is split
 CACHE = 300_000
 LONG_PRETOKEN = 64
 
 
-class Tokenizer:
-    """Counts tokens of pre-tokens with a byte-level BPE rank file; counts of short pre-tokens are kept."""
+class Tokenizer(dict):
+    """Counts tokens of pre-tokens with a byte-level BPE rank file; as a dictionary it keeps the counts of short pre-tokens."""
 
     def __init__(self, path: str, pattern: str):
         import base64
@@ -34,120 +33,165 @@ class Tokenizer:
         import regex
         import tiktoken
 
+        super().__init__()
         with open(path, "rb") as file:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
         self.encoding = tiktoken.Encoding("counts", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.split = regex.compile(pattern)
-        self.kept: dict[str, int] = {}
-
-    def count(self, pretoken: str) -> int:
-        n = self.kept.get(pretoken)
-        if n is None:
-            n = len(self.encoding.encode_ordinary(pretoken))
-            if len(pretoken) <= LONG_PRETOKEN:
-                if len(self.kept) >= CACHE:
-                    self.kept.clear()
-                self.kept[pretoken] = n
+
+    def __missing__(self, pretoken: str) -> int:
+        n = len(self.encoding.encode_ordinary(pretoken))
+        if len(pretoken) <= LONG_PRETOKEN:
+            self[pretoken] = n
         return n
 
-    def leaves(self, pieces: list[str]) -> tuple[list[str], list[int], list[int]]:
-        """(texts, pre-tokens, tokens) of new leaves for these pre-tokens."""
-        counts = [self.count(p) for p in pieces]
-        starts = range(0, len(pieces), LEAF)
-        return (["".join(pieces[a:a + LEAF]) for a in starts], [len(pieces[a:a + LEAF]) for a in starts], [sum(counts[a:a + LEAF]) for a in starts])
+    def counts(self, pieces: list[str]) -> list[int]:
+        if len(self) > CACHE:
+            self.clear()
+        return list(map(self.__getitem__, pieces))
+
+    def leaves(self, pieces: list[str]) -> np.ndarray:
+        """(characters, pre-tokens, tokens) of new leaves for these pre-tokens, a row a leaf."""
+        n = len(pieces)
+        if n == 0:
+            return np.zeros((0, 3), np.int64)
+        each = np.array([list(map(len, pieces)), [1] * n, self.counts(pieces)], np.int64)
+        return np.add.reduceat(each, np.arange(0, n, LEAF), axis=1).T
 
 
 class Tree:
-    """Segment tree over leaf texts; node i has the children 2i and 2i + 1, sums are (characters, pre-tokens, tokens)."""
+    """Segment tree over leaf texts; node i has the children 2i and 2i + 1, a node sums (characters, pre-tokens, tokens).
+
+    Edits change texts and character sums at once and mark leaves; ``settle`` encodes the marked regions.
+    """
 
-    def __init__(self, texts: list[str], pretokens: list[int], tokens: list[int]):
-        self.build(texts, pretokens, tokens)
+    def __init__(self, text: str, leaves: np.ndarray):
+        ends = np.cumsum(leaves[:, 0]).tolist()
         self.encoded = 0  # pre-tokens that edits had encoded
+        self.build([text[a:b] for a, b in zip([0, *ends], ends)], *leaves.T.tolist())
 
-    def build(self, texts: list[str], pretokens: list[int], tokens: list[int]) -> None:
+    def build(self, texts: list[str], *leaves: list[int]) -> None:
         self.size = 1 << max(0, len(texts) - 1).bit_length()
-        self.texts = texts + [""] * (self.size - len(texts))
-        self.sums = np.zeros((2 * self.size, 3), np.int64)
-        self.sums[self.size:self.size + len(texts)] = np.array([list(map(len, texts)), pretokens, tokens], np.int64).T.reshape(-1, 3)
-        at = self.size
-        while at > 1:
-            self.sums[at // 2:at] = self.sums[at:2 * at:2] + self.sums[at + 1:2 * at:2]
-            at //= 2
+        spare = self.size - len(texts)
+        self.texts = texts + [""] * spare
+        self.dirty: set[int] = set()
+        self.sums = []
+        for values in leaves:
+            tree = [0] * self.size + values + [0] * spare
+            for node in range(self.size - 1, 0, -1):
+                tree[node] = tree[2 * node] + tree[2 * node + 1]
+            self.sums.append(tree)
 
     def find(self, offset: int) -> tuple[int, int]:
-        """(leaf, its first character) of the leaf with character ``offset``; the last leaf for the end of the text."""
-        node, start = 1, 0
+        """(leaf, its first character) of the leaf with character ``offset``; the last leaf with text for the end of the text."""
+        chars, node, start = self.sums[0], 1, 0
         while node < self.size:
             node *= 2
-            here = int(self.sums[node, 0])
-            if offset >= start + here and int(self.sums[node + 1, 0]) > 0:
-                start += here
+            if offset >= start + chars[node] and chars[node + 1]:
+                start += chars[node]
                 node += 1
         return node - self.size, start
 
-    def put(self, leaf: int, text: str, pretokens: int, tokens: int) -> None:
-        self.texts[leaf] = text
-        node = leaf + self.size
-        change = np.array([len(text), pretokens, tokens], np.int64) - self.sums[node]
-        while node:
-            self.sums[node] += change
+    def put(self, kind: int, leaf: int, value: int) -> None:
+        tree, node = self.sums[kind], leaf + self.size
+        change = value - tree[node]
+        while change and node:
+            tree[node] += change
             node //= 2
 
     @property
     def text(self) -> str:
         return "".join(self.texts)
 
-    def edit(self, tokenizer: Tokenizer, start: int, length: int, new: str) -> None:
+    def edit(self, start: int, length: int, new: str) -> None:
         """Replace ``length`` characters from ``start`` by ``new``; both are cut to the text's bounds."""
-        total = int(self.sums[1, 0])
+        total = self.sums[0][1]
         start = min(max(start, 0), total)
         end = min(start + max(length, 0), total)
-        first, at = self.find(max(0, start - 2))  # the pre-token before may now match further
-        last, last_at = self.find(end)
-        bounds = [at]  # old boundaries of the leaves from the first on
-        for leaf in range(first, last + 1):
-            bounds.append(bounds[-1] + len(self.texts[leaf]))
-        reach = 1
+        first, at = self.find(start)
+        last, last_at = self.find(end) if end > start else (first, at)
+        tail = self.texts[last][end - last_at:]
+        self.texts[first] = self.texts[first][:start - at] + new + tail
+        for leaf in range(first + 1, last + 1):
+            self.texts[leaf] = ""
+            self.put(0, leaf, 0)
+            self.dirty.add(leaf)
+        self.put(0, first, len(self.texts[first]))
+        self.dirty.add(first)
+        # a pre-token that ends within two characters before the edit may now match further
+        near = start - at
+        while near < 2 and first:
+            first -= 1
+            near += len(self.texts[first])
+            self.dirty.add(first)
+
+    def settle(self, tokenizer: Tokenizer) -> None:
+        """Encode the marked leaves again, each from its start until a cut meets the start of an unmarked leaf.
+
+        Patterns look ahead by two characters at most and never behind, so what follows stays as it is.
+        """
+        grown: dict[int, list[str]] = {}
+        done = 0
+        for first in sorted(self.dirty):
+            if first < done:
+                continue
+            found, done = self.again(tokenizer, first)
+            self.encoded += len(found)
+            slots = done - first
+            each = max(LEAF, -(-len(found) // slots))
+            if each > 4 * LEAF:
+                grown[first] = found
+            counts = tokenizer.counts(found)
+            for i in range(slots):
+                part = slice(i * each, (i + 1) * each)
+                self.texts[first + i] = "".join(found[part])
+                for kind, value in enumerate((len(self.texts[first + i]), len(found[part]), sum(counts[part]))):
+                    self.put(kind, first + i, value)
+        self.dirty.clear()
+        if grown:
+            self.split_leaves(tokenizer, grown)
+
+    def again(self, tokenizer: Tokenizer, first: int) -> tuple[list[str], int]:
+        """(pre-tokens, next leaf) of the region that begins with leaf ``first``."""
+        beyond = 1
         while True:
-            # the old text from the first leaf, some leaves beyond the edit included
-            while last + 1 < self.size and reach:
-                last += 1
-                bounds.append(bounds[-1] + len(self.texts[last]))
-                reach -= 1
-            whole = bounds[-1] >= total
-            old = "".join(self.texts[first:last + 1])
-            window = old[:start - at] + new + old[end - at:]
-            shift = len(new) - (end - start)
-            found, cut = [], 0
-            meets = None
+            clean, at, starts, parts, leaf = 0, 0, {}, [], first
+            while leaf < self.size and clean < beyond:
+                text = self.texts[leaf]
+                if leaf not in self.dirty and text:
+                    starts[at] = leaf
+                    clean += 1
+                parts.append(text)
+                at += len(text)
+                leaf += 1
+            window, whole, found = "".join(parts), leaf == self.size, []
+            if 0 in starts:
+                return found, starts[0]
             for m in tokenizer.split.finditer(window):
                 found.append(m.group())
                 cut = m.end()
-                where = at + cut - shift  # in the old text
-                if where >= end and cut >= start - at + len(new):
-                    i = bisect.bisect_left(bounds, where, 1)  # never before the first leaf
-                    if i < len(bounds) and bounds[i] == where and (whole or where + 2 <= bounds[-1]):
-                        meets = bisect.bisect_right(bounds, where) - 1
-                        break
-            if meets is None and whole:
-                meets = len(bounds) - 1
-            if meets is not None:
-                break
-            reach = max(2, 2 * (last - first))
-        self.encoded += len(found)
-        for leaf in range(first + 1, first + meets):
-            self.put(leaf, "", 0, 0)
-        text = "".join(found)
-        self.put(first, text, len(found), sum(map(tokenizer.count, found)))
-        if len(text) > MAX_LEAF_CHARS and len(found) > 2 * LEAF:
-            self.split_leaf(tokenizer.leaves(found), first)
-
-    def split_leaf(self, parts: tuple[list[str], list[int], list[int]], leaf: int) -> None:
-        """Put several leaves in place of one and build the sums again; empty leaves go."""
-        kept = [(t, int(p), int(n)) for i, (t, (_, p, n)) in enumerate(zip(self.texts, self.sums[self.size:])) if t or i == leaf]
-        at = sum(1 for t in self.texts[:leaf] if t)
-        kept[at:at + 1] = list(zip(*parts))
-        self.build([k[0] for k in kept], [k[1] for k in kept], [k[2] for k in kept])
+                if cut in starts and (whole or cut + 2 <= len(window)):
+                    return found, starts[cut]
+            if whole:
+                return found, self.size
+            beyond *= 2
+
+    def split_leaves(self, tokenizer: Tokenizer, grown: dict[int, list[str]]) -> None:
+        """Build the tree anew with more leaves where edits put much text; empty leaves go."""
+        texts, leaves, skip = [], [], 0
+        for leaf in range(self.size):
+            if leaf in grown:
+                pieces = grown[leaf]
+                parts = tokenizer.leaves(pieces)
+                texts += ["".join(pieces[a:a + LEAF]) for a in range(0, len(pieces), LEAF)]
+                leaves += parts.tolist()
+                skip = sum(map(len, pieces))
+            if skip:
+                skip -= len(self.texts[leaf])  # the slots that hold these pieces now
+            elif self.texts[leaf]:
+                texts.append(self.texts[leaf])
+                leaves.append([s[self.size + leaf] for s in self.sums])
+        self.build(texts, *map(list, zip(*leaves)))
 
 
 def _build(schema: pa.Schema, path: str, pattern: str):
@@ -155,9 +199,10 @@ def _build(schema: pa.Schema, path: str, pattern: str):
         tokenizer = Tokenizer(path, pattern)
         out = Out(schema)
         for doc_id, raw in rows(batches, "doc_id", "text"):
-            texts, pretokens, tokens = tokenizer.leaves(tokenizer.split.findall(raw.decode("utf-8", "replace")))
-            leaves = np.array([list(map(len, texts)), pretokens, tokens], "<i4").T
-            if out.add(doc_id, "".join(texts), leaves.tobytes(), sum(pretokens), sum(tokens), size=len(raw)):
+            text = raw.decode("utf-8", "replace")
+            leaves = tokenizer.leaves(tokenizer.split.findall(text))
+            _, pretokens, tokens = leaves.sum(axis=0).tolist()
+            if out.add(doc_id, text, leaves.astype("<i4").tobytes(), pretokens, tokens, size=len(raw)):
                 yield out.take()
         yield out.take()
     return run
@@ -190,24 +235,23 @@ def _apply(schema: pa.Schema, path: str, pattern: str, with_text: bool):
         tree, row, edits = None, None, 0
 
         def done() -> bool:
-            chars, pretokens, tokens = (int(x) for x in tree.sums[1])
+            tree.settle(tokenizer)
+            chars, pretokens, tokens = (x[1] for x in tree.sums)
             state = ()
             if with_text:
-                kept = [i for i, t in enumerate(tree.texts) if t]
-                state = (tree.text, tree.sums[tree.size:][kept].astype("<i4").tobytes())
-            return out.add(row[0], *state, pretokens, tokens, row[2], row[3], edits, tree.encoded, chars, size=chars if with_text else 0)
+                leaves = np.array([x[tree.size:] for x in tree.sums], "<i4").T
+                state = (tree.text, leaves[leaves[:, 0] > 0].tobytes())
+            return out.add(row[0], *state, pretokens, tokens, row[1], row[2], edits, tree.encoded, chars, size=chars if with_text else 0)
 
         for doc_id, text, leaves, pretokens, tokens, start, length, replacement in rows(
                 batches, "doc_id", "text", "leaves", "pretokens", "tokens", "start", "length", "replacement"):
             if leaves is not None:
                 if tree is not None and done():
                     yield out.take()
-                sums = np.frombuffer(leaves, "<i4").reshape(-1, 3)
-                ends = np.cumsum(sums[:, 0]).tolist()
-                tree = Tree([text[a:b] for a, b in zip([0, *ends], ends)], sums[:, 1].tolist(), sums[:, 2].tolist())
-                row, edits = (doc_id, text, pretokens, tokens), 0
+                tree = Tree(text, np.frombuffer(leaves, "<i4").reshape(-1, 3))
+                row, edits = (doc_id, pretokens, tokens), 0
             elif tree is not None and doc_id is not None and doc_id == row[0]:
-                tree.edit(tokenizer, start or 0, length or 0, replacement or "")
+                tree.edit(start or 0, length or 0, replacement or "")
                 edits += 1
         if tree is not None:
             done()
@@ -239,15 +283,20 @@ def apply_edits(trees: DataFrame, edits: DataFrame, ranks: str, pattern: str, wi
 EDITS = [("edit_no", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("replacement", pa.string())]
 
 
-def _redact(schema: pa.Schema, rules: list[tuple[str, str]]):
+def _redact(schema: pa.Schema, rules: list[tuple[str, str, str]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
-        patterns = regex.compile("|".join(f"(?P<r{i}>{p})" for i, (p, _) in enumerate(rules)))
+        patterns = [(regex.compile(p), need, new) for p, need, new in rules]
         out = Out(schema)
         for doc_id, raw in rows(batches, "doc_id", "text"):
             text = raw.decode("utf-8", "replace")
-            places = [(m.start(), m.end() - m.start(), rules[int(m.lastgroup[1:])][1]) for m in patterns.finditer(text)]
+            found = sorted((m.start(), i, m.end(), new) for i, (p, need, new) in enumerate(patterns) if need in text for m in p.finditer(text))
+            places, upto = [], 0
+            for start, _, end, new in found:
+                if start >= upto:
+                    places.append((start, end - start, new))
+                    upto = end
             # from the end to the start, so that no edit moves the next
             for n, (start, length, new) in enumerate(reversed(places)):
                 if out.add(doc_id, n, start, length, new):
@@ -256,8 +305,11 @@ def _redact(schema: pa.Schema, rules: list[tuple[str, str]]):
     return run
 
 
-def redactions(docs: DataFrame, rules: list[tuple[str, str]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Edits (doc_id, edit_no, start, length, replacement) that put a rule's replacement in place of every match of its pattern."""
+def redactions(docs: DataFrame, rules: list[tuple[str, str, str]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Edits (doc_id, edit_no, start, length, replacement) that put a rule's replacement in place of every match of its pattern.
+
+    A rule is (pattern, text that every match has, replacement).  Of matches that overlap, the first stays.
+    """
     named = docs.select(F.col(id_col).alias("doc_id"), text_bytes(text_col).alias("text"))
     schema = pa.schema([("doc_id", _id_type(docs, id_col)), *EDITS])
     return named.mapInArrow(_redact(schema, rules), spark_schema(schema))
