@@ -9,8 +9,10 @@ bins are opened again with the next buffer, so only a task's last bins stay shor
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,10 +23,11 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from shelfwise.llm.common import Out, rows, spark_schema, text_bytes
 from shelfwise.session import cut_lineage
 
-BUFFER = 4096  # examples a task packs at a time
+BUFFER = 2048  # examples a task packs at a time
 GROUP_ROWS = 32_768  # examples a task packs in all
 WELL_FILLED = 0.985
-CACHE_CHUNKS = 300_000
+CACHE_CHUNKS = 400_000
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 LONG_CHUNK = 64
 
 
@@ -110,37 +113,70 @@ def pack(items: DataFrame, limits: dict[str, float], length: str, spread: list[s
     return dealt.mapInArrow(_pack(arrow, list(limits), [float(x) for x in limits.values()], length), schema)
 
 
-def _cut(schema: pa.Schema, path: str, capacity: int, end_id: int, with_ids: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+class ChunkEncoder:
+    """Ids of texts as little-endian 32-bit numbers, each distinct chunk encoded once.
+
+    Blanks and line ends end every pre-token, so a text is encoded chunk by chunk.  A chunk of Latin letters with marks behind
+    them has the letters, in lower case, and the marks as pre-tokens; the vocabulary's model encodes a word by itself.
+    """
+
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
-        cache: dict[str, bytes] = {"": b""}
-        end = struct.pack("<I", end_id)
-
-        def encode(text: str) -> bytes:
-            """Ids as little-endian 32-bit numbers.  Blanks end every pre-token, so chunks between them are encoded once."""
-            if len(cache) > CACHE_CHUNKS:
-                cache.clear()
-                cache[""] = b""
-            chunks = text.replace("\n", " ").split(" ")
-            new = [c for c in set(chunks) if c not in cache]
-            long: dict[str, bytes] = {}
-            for c, e in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False) if new else ()):
-                (cache if len(c) <= LONG_CHUNK else long)[c] = np.array(e.ids, "<u4").tobytes()
-            if long:
-                return b"".join([long[c] if c in long else cache[c] for c in chunks])
-            return b"".join(map(cache.__getitem__, chunks))
-
-        out = Out(schema)
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model.tokenize
+        self.chunks: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        # letters whose lower case is one letter
+        self.plain = re.compile("[a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+").fullmatch
+        # the printable stand-in of every byte of such letters in UTF-8, as byte-level vocabularies write them
+        self.stands = {i: 0x100 + 33 + i - 0x7F if i < 0xA1 else 0x143 if i == 0xAD else i for i in range(0x7F, 0x100)}
+
+    def ids(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def chunk(self, c: str) -> bytes:
+        got = self.chunks.get(c)
+        if got is not None:
+            return got
+        stem = c.rstrip(MARKS)
+        if not stem or len(c) > LONG_CHUNK or not self.plain(stem):
+            got = self.ids(c)
+            if len(c) <= LONG_CHUNK:
+                self.chunks[c] = got
+            return got
+        word, marks = stem.lower(), c[len(stem):]
+        got = self.words.get(word)
+        if got is None:
+            letters = word if word.isascii() else word.encode().decode("latin-1").translate(self.stands)
+            got = self.words[word] = array("I", [t.id for t in self.model(letters)]).tobytes()
+        if marks:
+            got += self.chunk(marks)
+        self.chunks[c] = got
+        return got
+
+    def encode(self, text: str) -> bytes:
+        if len(self.chunks) > CACHE_CHUNKS or len(self.words) > CACHE_CHUNKS:
+            self.chunks.clear()
+            self.words.clear()
+        chunks = text.replace("\n", " ").split(" ")
+        got = list(map(self.chunks.get, chunks))
+        if None in got:
+            got = [self.chunk(c) if b is None else b for b, c in zip(got, chunks)]
+        return b"".join(got)
+
+
+def _cut(schema: pa.Schema, path: str, capacity: int, end_id: int, with_ids: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = ChunkEncoder(path)
+        end, out = struct.pack("<I", end_id), Out(schema)
         for doc_id, text in rows(batches, "doc_id", "text"):
-            ids = memoryview(encode(text.decode("utf-8", "replace")) + end)
+            ids = memoryview(encoder.encode(text.decode("utf-8", "replace")) + end)
             n = len(ids) // 4
             for start in range(0, n, capacity):
                 piece = ids[4 * start:4 * (start + capacity)]
-                size = len(piece) // 4
-                row = (doc_id, start, size, zlib.crc32(piece), n)
+                row = (doc_id, start, len(piece) // 4, zlib.crc32(piece), n)
                 if out.add(*row, *([bytes(piece)] if with_ids else []), size=len(piece) if with_ids else 0):
                     yield out.take()
         yield out.take()
