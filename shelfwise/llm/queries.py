@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from shelfwise.llm import exact_dedup, mixing, packing, sharding, token_counts
+from shelfwise.llm import embedding_dedup, exact_dedup, mixing, packing, sharding, token_counts
 from shelfwise.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -69,3 +69,20 @@ def op1_token_counts(spark, sf_dir):
 def op2_mixing(spark, sf_dir):
     mix = mixing.mix_sources(table(spark, sf_dir, "documents"), [5.0, 2.0, 1.0])
     return mix.taken().join(F.broadcast(mix.sources.drop("source")), "source_no").select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
+@query("op3_embedding_dedup", """
+    WITH RECURSIVE usable AS (
+        SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v, row_number() OVER () AS k FROM embeddings
+        WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+            AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+    links AS (SELECT a.k AS a, b.k AS b, a.vec_id AS a_id, b.vec_id AS b_id FROM usable a JOIN usable b ON a.label = b.label AND a.k <> b.k AND len(a.v) = len(b.v)
+        WHERE list_cosine_similarity(a.v, b.v) >= 0.98),
+    reach AS (SELECT a_id AS vec_id, b_id AS other FROM links UNION SELECT r.vec_id, l.b_id FROM reach r JOIN links l ON l.a_id = r.other),
+    least AS (SELECT vec_id, min(other) AS other FROM reach GROUP BY vec_id),
+    counts AS (SELECT a_id AS vec_id, count(*) AS n FROM links GROUP BY a_id)
+    SELECT e.vec_id, coalesce(c.n, 0) AS n_links, least(e.vec_id, coalesce(l.other, e.vec_id)) AS component_id,
+        e.vec_id = least(e.vec_id, coalesce(l.other, e.vec_id)) AS kept
+    FROM embeddings e LEFT JOIN counts c USING (vec_id) LEFT JOIN least l USING (vec_id)""")
+def op3_embedding_dedup(spark, sf_dir):
+    return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
