@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from shelfwise.llm import embedding_dedup, exact_dedup, mixing, packing, sharding, token_counts
-from shelfwise.llm.common import table
+from shelfwise.llm import embedding_dedup, exact_dedup, language, mixing, packing, sharding, token_counts
+from shelfwise.llm.common import held_out, table
+from shelfwise.session import cut_lineage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 TWINS: dict[str, str] = {}
@@ -86,3 +87,11 @@ def op2_mixing(spark, sf_dir):
     FROM embeddings e LEFT JOIN counts c USING (vec_id) LEFT JOIN least l USING (vec_id)""")
 def op3_embedding_dedup(spark, sf_dir):
     return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query("op4_language_id")
+def op4_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = language.fit(docs.where(~held_out()))
+    scored = cut_lineage(language.identify(docs, model).withColumn("held_out", held_out()))
+    return language.reject(scored, ~F.col("held_out")).select("doc_id", "held_out", "lang_pred", "score", "cross_entropy", "rejected")
