@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from shelfwise.llm import embedding_dedup, exact_dedup, language, mixing, packing, sharding, token_counts
+from shelfwise.llm import embedding_dedup, exact_dedup, language, mixing, packing, quality, sharding, token_counts
 from shelfwise.llm.common import held_out, table
 from shelfwise.session import cut_lineage
 
@@ -95,3 +95,11 @@ def op4_language_id(spark, sf_dir):
     model = language.fit(docs.where(~held_out()))
     scored = cut_lineage(language.identify(docs, model).withColumn("held_out", held_out()))
     return language.reject(scored, ~F.col("held_out")).select("doc_id", "held_out", "lang_pred", "score", "cross_entropy", "rejected")
+
+
+@query("op6_quality")
+def op6_quality(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality.fit(docs, labels.where(~held_out()))
+    scored = quality.score(docs, model)
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
