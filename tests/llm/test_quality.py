@@ -55,11 +55,14 @@ def test_gradient_moves_attention_to_the_passage_that_tells():
             d[a:a + qu.PASSAGE] += 5
         docs.append((1 - i % 2, d))
     model = qu.train(docs)
-    label, d = docs[1]
-    sums = np.add.reduceat(model.weights["table"][d // qu.BUCKETS] + model.weights["table"][d % qu.BUCKETS], qu.passages(len(d)), axis=0)
-    _, _, a, _, p = model.attend(model.encode(sums, np.full(6, qu.PASSAGE)), np.array([0]))
-    odd = int(np.flatnonzero(d[::qu.PASSAGE] % qu.BUCKETS > qu.BUCKETS // 2)[0])
-    assert a[odd] > 2 * np.delete(a, odd).max() and p[0] < 0.2
+    found, scores = [], []
+    for label, d in docs:
+        sums = np.add.reduceat(model.weights["table"][d // qu.BUCKETS] + model.weights["table"][d % qu.BUCKETS], qu.passages(len(d)), axis=0)
+        _, _, a, _, p = model.attend(model.encode(sums, np.full(6, qu.PASSAGE)), np.array([0]))
+        scores.append((label, p[0]))
+        if label == 0:
+            found.append(a.argmax() == np.flatnonzero(d[::qu.PASSAGE] % qu.BUCKETS > qu.BUCKETS // 2)[0])
+    assert np.mean(found) > 0.95 and all((p > 0.5) == label for label, p in scores)
 
 
 def test_held_out(spark):
