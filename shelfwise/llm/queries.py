@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from shelfwise.llm import embedding_dedup, exact_dedup, language, mixing, packing, quality, sharding, token_counts
+from shelfwise.llm import embedding_dedup, exact_dedup, language, mixing, ngram_join, packing, quality, sharding, token_counts
 from shelfwise.llm.common import held_out, table
 from shelfwise.session import cut_lineage
 
@@ -103,3 +103,19 @@ def op6_quality(spark, sf_dir):
     model = quality.fit(docs, labels.where(~held_out()))
     scored = quality.score(docs, model)
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query("op9_ngram_join", r"""
+    WITH RECURSIVE words AS (SELECT doc_id, list_filter(regexp_split_to_array(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+    sets AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+        ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s FROM words),
+    sizes AS (SELECT doc_id, len(s) AS n FROM sets),
+    parts AS (SELECT doc_id, unnest(s) AS g FROM sets),
+    common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM parts a JOIN parts b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+    links AS (SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+    reach AS (SELECT a AS doc_id, b AS other FROM links UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON l.a = r.other),
+    least AS (SELECT doc_id, min(other) AS other FROM reach GROUP BY doc_id)
+    SELECT doc_id, n AS n_shingles, least(doc_id, coalesce(other, doc_id)) AS component_id FROM sizes LEFT JOIN least USING (doc_id)""")
+def op9_ngram_join(spark, sf_dir):
+    return ngram_join.similar_documents(table(spark, sf_dir, "documents"))
