@@ -57,11 +57,11 @@ def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def rows(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tuple]:
+def rows(batches: Iterator[pa.RecordBatch], *columns: str, held: int = 256) -> Iterator[tuple]:
     """Python values of the named columns, row by row, holding a slice of a batch at a time."""
     for batch in batches:
-        for a in range(0, batch.num_rows, 256):
-            part = batch.slice(a, 256)
+        for a in range(0, batch.num_rows, held):
+            part = batch.slice(a, held)
             yield from zip(*(part.column(c).to_pylist() for c in columns))
 
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from shelfwise.llm.common import batch, mix, spark_schema
-from shelfwise.llm.graph import components
+from shelfwise.llm.graph import components, spanning
 from shelfwise.session import cut_lineage
 
 UNIT = 256  # vectors of a group that are compared as one block
@@ -133,21 +133,6 @@ def _meet(lattice: Lattice):
     return run
 
 
-def _spanning(rows: np.ndarray, cols: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """At most n links that connect what the links (rows, cols) among n numbers connect."""
-    root = np.arange(n)
-    while True:
-        low = np.minimum(root[rows], root[cols])
-        new = root.copy()
-        np.minimum.at(new, rows, low)
-        np.minimum.at(new, cols, low)
-        new = new[new]
-        if (new == root).all():
-            at = np.flatnonzero(root != np.arange(n))
-            return at, root[at]
-        root = new
-
-
 def _compare(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -170,7 +155,7 @@ def _compare(least: float):
                 if not same:
                     links = np.concatenate([links, hit.T @ np.array([m["n"] for m in left])])
                 i, j = np.nonzero(hit)
-                u, v = _spanning(i, j if same else j + len(left), len(keys))
+                u, v = spanning(i, j if same else j + len(left), len(keys))
                 some = np.flatnonzero(links)
                 n, m = len(some), len(u)
                 yield batch(FOUND, [np.concatenate([keys[some], keys[u]]), pa.array(links[some].tolist() + [None] * m, pa.int64()),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from shelfwise.session import cut_lineage
@@ -34,3 +35,18 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
         before = after
     roots = edges.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("root"))
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
+
+
+def spanning(rows: np.ndarray, cols: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """At most n links that connect what the links (rows, cols) among n numbers connect."""
+    root = np.arange(n)
+    while True:
+        low = np.minimum(root[rows], root[cols])
+        new = root.copy()
+        np.minimum.at(new, rows, low)
+        np.minimum.at(new, cols, low)
+        new = new[new]
+        if (new == root).all():
+            at = np.flatnonzero(root != np.arange(n))
+            return at, root[at]
+        root = new
