@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from shelfwise.llm import embedding_dedup, exact_dedup, language, mixing, ngram_join, packing, quality, sharding, token_counts
+from shelfwise.llm import embedding_dedup, exact_dedup, language, mixing, ngram_join, packing, quality, sharding, substring_dedup, token_counts
 from shelfwise.llm.common import held_out, table
 from shelfwise.session import cut_lineage
 
@@ -119,3 +119,8 @@ def op6_quality(spark, sf_dir):
     SELECT doc_id, n AS n_shingles, least(doc_id, coalesce(other, doc_id)) AS component_id FROM sizes LEFT JOIN least USING (doc_id)""")
 def op9_ngram_join(spark, sf_dir):
     return ngram_join.similar_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op8_substring_dedup")
+def op8_substring_dedup(spark, sf_dir):
+    return substring_dedup.shared_passages(table(spark, sf_dir, "documents"))
