@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"  # bytes.split() cuts UTF-8 text at exactly these places
-CACHE_WORDS = 400_000  # entries a task's word cache may hold before it starts afresh
+CACHE_WORDS = 200_000  # entries a task's word cache may hold before it starts afresh
 
 _A, _B, _S30, _S27, _S31 = (np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 30, 27, 31))
 
@@ -97,3 +97,20 @@ def spark_schema(schema: pa.Schema):
 def held_out(id_column: str = "doc_id") -> Column:
     """A quarter of the documents never serves for learning: crc32 of the id as text, modulo 4, is 2."""
     return F.coalesce(F.crc32(F.col(id_column).cast("string").cast("binary")) % 4 == 2, F.lit(False))
+
+
+FILTER_BITS = 1 << 23
+
+
+def likely(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose 64-bit hash ``key`` may be in ``keys``, found without moving them.
+
+    A bit table of fixed size is broadcast: at most FILTER_BITS / 64 rows of two numbers, whatever the size of
+    ``keys``.  It never loses a key; what passes by chance is left to the join that follows.
+    """
+    place = F.pmod(F.col(key), F.lit(FILTER_BITS))
+    word, bit = F.shiftright(place, 6), F.pmod(place, F.lit(64)).cast("int")
+    table_ = keys.select(word.alias("__word"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("__bit")).groupBy("__word").agg(F.bit_or("__bit").alias("__bits"))
+    hit = df.withColumn("__word", word).join(F.broadcast(table_), "__word").where(
+        F.call_function("shiftright", F.col("__bits"), bit).bitwiseAND(F.lit(1)) == 1)
+    return hit.select(df.columns)
