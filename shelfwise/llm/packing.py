@@ -26,7 +26,8 @@ from shelfwise.session import cut_lineage
 BUFFER = 2048  # examples a task packs at a time
 GROUP_ROWS = 32_768  # examples a task packs in all
 WELL_FILLED = 0.985
-CACHE_CHUNKS = 400_000
+CACHE_CHUNKS = 250_000
+CACHE_PLAIN = 150_000
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 LONG_CHUNK = 64
 
@@ -157,7 +158,7 @@ class ChunkEncoder:
         return got
 
     def encode(self, text: str) -> bytes:
-        if len(self.chunks) > CACHE_CHUNKS or len(self.words) > CACHE_CHUNKS:
+        if len(self.chunks) > CACHE_CHUNKS or len(self.words) > CACHE_PLAIN:
             self.chunks.clear()
             self.words.clear()
         chunks = text.replace("\n", " ").split(" ")

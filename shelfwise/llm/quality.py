@@ -23,7 +23,7 @@ WIDTH = 16
 PASSAGE = 64  # words
 MAX_DOCS = 6000  # labelled documents that the fit reads, as near as a hash of the id can say
 EPOCHS = 12
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 SAMPLE = pa.schema([("doc_id", pa.string()), ("label", pa.int64()), ("features", pa.binary())])
 WEIGHTS = pa.schema([("name", pa.string()), ("shape", pa.list_(pa.int64())), ("values", pa.binary())])
 
