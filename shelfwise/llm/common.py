@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -63,6 +66,15 @@ def rows(batches: Iterator[pa.RecordBatch], *columns: str, held: int = 256) -> I
         for a in range(0, batch.num_rows, held):
             part = batch.slice(a, held)
             yield from zip(*(part.column(c).to_pylist() for c in columns))
+    free_memory()
+
+
+def free_memory() -> None:
+    """Give unused memory back at the end of a task; Spark keeps its Python workers for later tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)  # the C library's own unused memory, where it is glibc
 
 
 def batch(schema: pa.Schema, columns: list) -> pa.RecordBatch:
