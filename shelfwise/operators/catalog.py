@@ -11,7 +11,6 @@ from shelfwise.operators.keyed import first_per_key, global_rank
 
 STANDARD_COLUMNS = ("product_id", "product_name", "category", "status", "brand", "price", "in_stock", "description",
                     "image_url", "product_url", "created_at", "updated_at")
-MAX_BULK_IDS = 500
 SHALLOW_ROWS = 100_000
 
 
@@ -74,7 +73,7 @@ def commit_upload(catalog: DataFrame, rows: DataFrame, now: Column, replace: boo
             return F.when(has_new | archive, now).otherwise(old_v).alias(c)
         new_v = F.col(f"new.`{c}`") if c in new_cols else F.lit(None)
         if c == "in_stock":
-            old_v = old_v.cast("string").try_cast("int")
+            old_v = old_v.cast("string").try_cast("double").try_cast("int")
         if c == "status":
             old_v = F.when(archive, "archived").otherwise(old_v)
         return F.when(has_new, new_v).otherwise(old_v).alias(c)

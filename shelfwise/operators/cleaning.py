@@ -66,7 +66,7 @@ def is_active(status: str = "status") -> Column:
 
 
 def stock_number(c: Column) -> Column:
-    return F.coalesce(c.cast("string").try_cast("double").cast("int"), F.lit(1))
+    return F.coalesce(c.cast("string").try_cast("double").try_cast("int"), F.lit(1))
 
 
 def active_catalog(catalog: DataFrame, hide_out_of_stock: bool = False) -> DataFrame:
@@ -79,7 +79,7 @@ def active_catalog(catalog: DataFrame, hide_out_of_stock: bool = False) -> DataF
         "product_name": F.coalesce(blank_to_null(F.col("product_name")), pid),
         "category": blank_to_null(F.col("category")),
         "brand": blank_to_null(F.col("brand")),
-        "price": F.col("price").cast("double"),
+        "price": F.col("price").cast("string").try_cast("double"),
         "in_stock": stock_number(F.col("in_stock")),
         "product_id": pid,
     })

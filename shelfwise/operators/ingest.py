@@ -134,7 +134,7 @@ def seed_catalog(products: DataFrame, order: Sequence[Column], now: Column) -> D
     rows = first_per_key(products.where(pid != "").withColumn("product_id", pid), ["product_id"], order)
     name = strip(F.coalesce(pick("product_name", "title", "name"), F.col("product_id")))
     category = F.coalesce(blank_to_null(F.coalesce(pick("category", "product_type", "google_product_category"), F.lit("General"))), F.lit("General"))
-    stock = F.coalesce(pick("in_stock").try_cast("double").cast("int"), F.lit(1))
+    stock = F.coalesce(pick("in_stock").try_cast("double").try_cast("int"), F.lit(1))
     return rows.select(
         "product_id", name.alias("product_name"), category.alias("category"), F.lit("active").alias("status"),
         pick("brand").alias("brand"), pick("price").try_cast("double").alias("price"), stock.alias("in_stock"),

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
 # fixed values: default requests per minute and scope
-LIMITS = {"recommendations": 60, "onboarding": 5, "tracking": 120, "catalogue": 60}
+LIMITS = {"recommendations": 60, "onboarding": 5, "tracking": 120, "catalog": 60}
 
 
 def limit_requests(requests: DataFrame, keys: Sequence[str], ts: str, order_id: str, limit: int, seconds: int = 60) -> DataFrame:

@@ -99,7 +99,7 @@ def candidate_training_frame(spark, sf):
     return ranking.training_frame(sampled(spark, sf), left, right)
 
 
-def ranking_model(spark, sf, trees=20):
+def ranking_model(spark, sf, trees=100):
     shoppers, bought, shelf = inputs(spark, sf, "shoppers", "bought", "shelf")
     return ranking.fit(shoppers, cleaning.active_catalog(shelf), bought, CUSTOMER_FEATURES, PRODUCT_FEATURES, trees=trees)
 
@@ -121,7 +121,7 @@ def model_tournament(spark, sf):
     """All four models on the training rows, measured on the held-out ones."""
     shoppers, pairs, shelf = inputs(spark, sf, "shoppers", "pairs", "shelf")
     train, test = (cut_lineage(df) for df in evaluate.train_test(pairs))
-    return score_models(shoppers, cleaning.active_catalog(shelf), train, test, NUMERIC, CATEGORICAL, PRODUCT_FEATURES, trees=10)
+    return score_models(shoppers, cleaning.active_catalog(shelf), train, test, NUMERIC, CATEGORICAL, PRODUCT_FEATURES)
 
 
 @query("train_all_tenants")

@@ -43,6 +43,7 @@ ROLES: dict[str, str] = {
                CASE WHEN p_partkey % 53 = 0 THEN CAST(NULL AS DOUBLE) WHEN p_partkey % 59 = 0 THEN 0.0
                     ELSE ROUND(p_retailprice * p_size / 10, 2) END AS price,
                CASE WHEN p_partkey % 7 = 0 THEN CAST(NULL AS STRING) WHEN p_partkey % 11 = 0 THEN 'n/a'
+                    WHEN p_partkey % 13 = 0 THEN 'nan' WHEN p_partkey % 17 = 0 THEN '1e12' WHEN p_partkey % 19 = 0 THEN '1.0'
                     WHEN p_partkey % 5 = 0 THEN '0' ELSE '1' END AS in_stock,
                'a ' || p_name || ' made by ' || p_brand || ' for ' || lower(p_type) || ' use' AS description,
                CAST(NULL AS STRING) AS image_url, '/p/' || p_partkey AS product_url,

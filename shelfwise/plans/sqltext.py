@@ -20,7 +20,7 @@ def price(c: str) -> str:
 
 
 ACTIVE = "lower(trim(coalesce(status, 'active'))) = 'active'"
-STOCK = "coalesce(CAST(trunc(try_cast(in_stock AS DOUBLE)) AS INTEGER), 1)"
+STOCK = "coalesce(try_cast(trunc(try_cast(in_stock AS DOUBLE)) AS INTEGER), 1)"
 
 # active catalogue as a subquery
 ACTIVE_SHELF = f"""(SELECT product_id, coalesce({nul('product_name')}, product_id) AS product_name,

@@ -25,7 +25,7 @@ def random_matrix(spark, n=30, m=20, seed=0, density=0.3):
 
 def test_svd_matches_numpy(spark):
     x, df = random_matrix(spark)
-    model = factors.svd_fit(df, 4, iterations=12)
+    model = factors.svd_fit(df, 4)
     got = {r.product_id: r.vec for r in model.products.collect()}
     v = np.array([got[f"p{j:02d}"] for j in range(x.shape[1])])
     _, s, vt = np.linalg.svd(x, full_matrices=False)
@@ -36,7 +36,7 @@ def test_svd_matches_numpy(spark):
 
 def test_cf_topk_drops_owned_and_matches_numpy(spark):
     x, df = random_matrix(spark, seed=2)
-    model = factors.svd_fit(df, 3, iterations=12)
+    model = factors.svd_fit(df, 3)
     got = {}
     for r in factors.top_products(model, 4).orderBy("customer_id", "rank").collect():
         got.setdefault(int(r.customer_id[1:]), []).append((r.product_id, r.score))
