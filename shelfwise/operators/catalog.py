@@ -11,7 +11,6 @@ from shelfwise.operators.keyed import first_per_key, global_rank
 
 STANDARD_COLUMNS = ("product_id", "product_name", "category", "status", "brand", "price", "in_stock", "description",
                     "image_url", "product_url", "created_at", "updated_at")
-SHALLOW_ROWS = 100_000
 
 
 def feed_upsert(existing: DataFrame, feed: DataFrame, order: Column, mode: str = "upsert") -> DataFrame:
@@ -162,16 +161,17 @@ def by_category(catalog: DataFrame) -> DataFrame:
 
 
 def page(catalog: DataFrame, number: int, size: int, order: str = "product_id") -> DataFrame:
-    """One page of the ordered catalogue; page size is kept in 1..100 and the number in 1..total_pages."""
+    """One page of the ordered catalogue, equal values by id; page size is kept in 1..100 and the number in 1..total_pages.
+
+    Rows are numbered over the whole range-partitioned order, so a deep page costs no more than a first one.
+    """
     total = catalog.count()
     size = max(1, min(100, size))
     pages = -(-total // size)
     number = max(1, min(number, pages)) if pages else 1
     start = (number - 1) * size
-    if start <= SHALLOW_ROWS:
-        rows = catalog.orderBy(order).offset(start).limit(size)
-    else:  # a deep page would pull all rows before it to one place
-        rows = global_rank(catalog, [F.col(order).asc()], "_at").where(F.col("_at").between(start + 1, start + size)).drop("_at")
+    keys = [F.col(c).asc() for c in dict.fromkeys((order, "product_id"))]
+    rows = global_rank(catalog, keys, "_at").where(F.col("_at").between(start + 1, start + size)).drop("_at")
     return rows.withColumns({"total": F.lit(total), "total_pages": F.lit(pages), "page": F.lit(number)})
 
 

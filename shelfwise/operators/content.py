@@ -54,9 +54,11 @@ def fit(customers: DataFrame, interactions: DataFrame, numeric: Sequence[str], c
     return ContentModel(vectors, product_profiles(interactions, vectors, len(names)), names)
 
 
-def top_products(model: ContentModel, k: int) -> DataFrame:
-    """The ``k`` closest products for every customer; owned products stay in."""
+def top_products(model: ContentModel, k: int, offered: DataFrame | None = None) -> DataFrame:
+    """The ``k`` closest products (of ``offered`` ones, if given) for every customer; owned products stay in."""
     queries = model.vectors.select(F.col("customer_id").alias("qid"), unit(F.col("vec")).alias("vec"))
     items = model.profiles.select(F.col("product_id").alias("iid"), unit(F.col("vec")).alias("vec"))
+    if offered is not None:
+        items = items.join(offered.select(F.col("product_id").alias("iid")), "iid", "left_semi")
     out = top_matches(queries, items, k, len(model.names))
     return out.select(F.col("qid").alias("customer_id"), F.col("iid").alias("product_id"), "score", "rank")

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from shelfwise.config import Segmentation
 from shelfwise.functions.ids import strip
 from shelfwise.operators.keyed import exact_median, first_per_key, top_per_key
+from shelfwise.session import cut_lineage
 
 METRICS = ("precision", "recall", "ndcg")
 
@@ -33,9 +34,12 @@ def split_flags(interactions: DataFrame, max_test: int = 2, seed: int = 42) -> D
 
 
 def train_test(interactions: DataFrame, max_test: int = 2, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """Training and test rows; the interactions are computed once and the flagged rows are written, so both sides only read them."""
     keys = ["customer_id", "product_id"]
-    test = split_flags(interactions, max_test, seed)
-    return interactions.join(test, keys, "left_anti"), interactions.join(test, keys, "left_semi")
+    rows = cut_lineage(interactions)
+    test = split_flags(rows, max_test, seed).withColumn("_test", F.lit(True))
+    marked = cut_lineage(rows.join(test, keys, "left"))
+    return marked.where("_test IS NULL").drop("_test"), marked.where("_test").drop("_test")
 
 
 def hits(recommended: DataFrame, held_out: DataFrame) -> DataFrame:
@@ -111,12 +115,13 @@ def segment_metrics(per_customer: DataFrame, segments: DataFrame) -> DataFrame:
     return means.join(best, "segment").withColumn("is_winner", F.col("model") == F.col("winner")).drop("winner")
 
 
-def tournament(means: DataFrame, order: tuple[str, ...]) -> DataFrame:
-    """Metrics rounded to 4 digits; the winner has the highest ndcg, the earlier model wins a tie."""
+def tournament(means: DataFrame, order: tuple[str, ...], failed: Sequence[str] = ()) -> DataFrame:
+    """Metrics rounded to 4 digits; the winner has the highest ndcg, the earlier model wins a tie, a failed model never wins."""
     place = F.array_position(F.array(*[F.lit(m) for m in order]), F.col("model"))
-    scored = means.select("model", "customers", *[F.round(F.coalesce(m, F.lit(0.0)), 4).alias(m) for m in METRICS], place.alias("_place"))
-    winner = scored.orderBy(F.col("ndcg").desc(), "_place").limit(1).select(F.col("model").alias("winner"))
-    return scored.withColumn("is_winner", F.col("model") == winner.scalar()).drop("_place")
+    status = F.when(F.col("model").isin(*failed), "failed").otherwise("completed")
+    scored = means.select("model", "customers", *[F.round(F.coalesce(m, F.lit(0.0)), 4).alias(m) for m in METRICS], status.alias("status"), place.alias("_place"))
+    winner = scored.where("status = 'completed'").orderBy(F.col("ndcg").desc(), "_place").limit(1).select(F.col("model").alias("winner"))
+    return scored.withColumn("is_winner", F.coalesce(F.col("model") == winner.scalar(), F.lit(False))).drop("_place")
 
 
 def leaderboard(models: DataFrame, metrics: DataFrame, run_status: Column, winner: Column) -> DataFrame:

@@ -9,11 +9,6 @@ from shelfwise.operators.keyed import global_rank, top_per_key
 from shelfwise.session import cut_lineage
 
 
-def over_fetch(n: int) -> int:
-    """How many model candidates are looked at before the active filter."""
-    return min(100, max(3 * n, 10))
-
-
 def popularity(interactions: DataFrame, queued: DataFrame | None = None) -> DataFrame:
     """Interactions (and queued events) per product."""
     ids = interactions.select(strip(F.col("product_id")).alias("product_id"))
@@ -70,11 +65,11 @@ def recommend_all(requests: DataFrame, customers: DataFrame, lists: DataFrame, a
                   n: int, trained: Column | bool = True) -> DataFrame:
     """One ranked list of active products and a reason for every requested customer.
 
-    ``lists`` holds (customer_id, product_id, rank) of the winning model, ``fallback`` the top ``n`` of
-    :func:`popularity_fallback`.  Only the first :func:`over_fetch` model candidates count.
+    ``lists`` holds (customer_id, product_id, rank) of the winning model, drawn from active products so that ``n``
+    entries are enough; ``fallback`` is the top ``n`` of :func:`popularity_fallback`.
     """
     trained = trained if isinstance(trained, Column) else F.lit(trained)
-    flagged = lists.where(F.col("rank") <= over_fetch(n)).join(
+    flagged = lists.join(
         active.select("product_id", F.lit(True).alias("on")), "product_id", "left")
     own = flagged.groupBy("customer_id").agg(
         F.sort_array(F.collect_list(F.when(F.col("on"), F.struct("rank", "product_id")))).alias("own"))

@@ -114,13 +114,13 @@ def funnel_by_source(records: DataFrame, today: dt.date, days: int) -> DataFrame
         F.count_if(F.col("event_type") == t).alias(out) for t, out in (("click", "clicks"), ("add_to_cart", "add_to_carts"), ("purchase", "purchases"))])
 
 
-def recent_events(records: DataFrame, names: DataFrame, now: Column, n: int = 20) -> DataFrame:
-    """Newest ``n`` events per tenant with product name and relative time."""
-    events = records.where("type = 'event'").select("tenant_id", "event_id", "ts", "event_type", "product_id")
+def recent_events(records: DataFrame, names: DataFrame, now: dt.datetime, n: int = 20, days: int = 3) -> DataFrame:
+    """Newest ``n`` events per tenant of the last ``days`` dates, with product name and relative time; older partitions are not read."""
+    events = in_window(records, now.date(), days).where("type = 'event'").select("tenant_id", "event_id", "ts", "event_type", "product_id")
     best = top_per_key(events, ["tenant_id"], [F.col("ts").desc(), F.col("event_id").desc()], n)
     return best.join(names.select("product_id", "product_name"), "product_id", "left").select(
         "tenant_id", "rank", "event_id", "event_type", "product_id", F.coalesce("product_name", "product_id").alias("product_name"),
-        time_ago(F.col("ts"), now).alias("ago"))
+        time_ago(F.col("ts"), F.lit(now).cast("timestamp_ntz")).alias("ago"))
 
 
 def expired(partitions: DataFrame, today: dt.date, days: int = RETENTION_DAYS) -> DataFrame:

@@ -11,7 +11,6 @@ from shelfwise.operators.similarity import candidate_counts, price_bounds
 from shelfwise.plans import sqltext as q
 from shelfwise.plans.registry import query
 from shelfwise.plans.roles import inputs, one
-from shelfwise.session import cut_lineage
 
 NUMERIC, CATEGORICAL = ("c_acctbal", "c_nationkey"), ("c_mktsegment",)
 SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
@@ -68,19 +67,13 @@ def join_dim_lookup(spark, sf):
     return pop.join(active(spark, sf).select("product_id", "product_name", "category", "price"), "product_id", "left")
 
 
-TOP50 = "(SELECT product_id, count(*) AS n FROM bought GROUP BY 1 ORDER BY n DESC, product_id LIMIT 50)"
-
-
 @query("join_anti_known", "shoppers", "bought", sql=f"""
-    SELECT customer_id, product_id FROM shoppers CROSS JOIN {TOP50} t
-    WHERE (customer_id, product_id) NOT IN (SELECT customer_id, product_id FROM bought)""")
+    SELECT customer_id, product_id, round(score, 6) AS score FROM {CONTENT}
+    WHERE rank <= 100 AND (customer_id, product_id) NOT IN (SELECT customer_id, product_id FROM bought)""")
 def join_anti_known(spark, sf):
-    """The 50 bestsellers offered to every customer, without what the customer owns."""
-    shoppers, bought = inputs(spark, sf, "shoppers", "bought")
-    best = serve.popularity(bought).orderBy(F.col("n").desc(), "product_id").limit(50)
-    ids = best.agg(F.collect_list("product_id").alias("ids")).scalar()  # 50 values
-    offers = shoppers.select("customer_id", F.explode(ids).alias("product_id"))
-    return serve.drop_owned(offers, bought.select("customer_id", "product_id").distinct())
+    """The pairs that the content model scores, its 100 best of all products for every customer, without what the customer owns."""
+    scored = content.top_products(content_model(spark, sf), 100).select("customer_id", "product_id", F.round("score", 6).alias("score"))
+    return serve.drop_owned(scored, one(spark, sf, "bought").select("customer_id", "product_id").distinct())
 
 
 @query("join_semi_active", "bought", "shelf", sql=f"""
@@ -383,19 +376,19 @@ def requested(spark, sf):
 
 
 @query("recommend_all", "shoppers", "bought", "shelf", "clicks", sql=f"""
-    WITH l AS MATERIALIZED (SELECT * FROM {CONTENT} WHERE rank <= 15 AND customer_id IN (SELECT customer_id FROM bought)), a AS {q.ACTIVE_SHELF}, fb AS {FALLBACK.format(n=5)},
+    WITH l AS MATERIALIZED (SELECT * FROM {CONTENT} WHERE customer_id IN (SELECT customer_id FROM bought)), a AS {q.ACTIVE_SHELF}, fb AS {FALLBACK.format(n=5)},
     r AS (SELECT customer_id FROM shoppers UNION ALL SELECT DISTINCT trim(customer_id) FROM clicks WHERE trim(customer_id) LIKE 'u%'),
     w AS (SELECT customer_id, CASE WHEN customer_id NOT IN (SELECT customer_id FROM shoppers) THEN 'unknown_customer'
         WHEN customer_id NOT IN (SELECT customer_id FROM l) THEN 'no_history' END AS reason FROM r),
     u AS (SELECT customer_id, product_id, min(rank) AS pos FROM (
         SELECT customer_id, product_id, rank FROM l WHERE product_id IN (SELECT product_id FROM a)
-        UNION ALL SELECT customer_id, product_id, 100 + rank FROM w CROSS JOIN fb) GROUP BY 1, 2),
+        UNION ALL SELECT customer_id, product_id, 1000000000 + rank FROM w CROSS JOIN fb) GROUP BY 1, 2),
     k AS (SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY pos) AS rank FROM u)
     SELECT customer_id, k.rank, k.product_id, product_name, category, price, reason FROM k JOIN w USING (customer_id) LEFT JOIN a USING (product_id) WHERE k.rank <= 5""")
 def recommend_all(spark, sf):
     shoppers, bought = inputs(spark, sf, "shoppers", "bought")
     act = active(spark, sf)
-    lists = content.top_products(content_model(spark, sf), serve.over_fetch(5)).join(
+    lists = content.top_products(content_model(spark, sf), 5, offered=act).join(
         bought.select("customer_id").distinct(), "customer_id", "left_semi")
     fallback = serve.popularity_fallback(act, serve.popularity(bought), 5)
     return serve.recommend_all(requested(spark, sf), shoppers, lists, act, fallback, 5)
@@ -417,7 +410,6 @@ def two_models(spark, sf):
     """Training and test rows, and the lists of two models for all customers."""
     shoppers, bought, pairs, shelf = inputs(spark, sf, "shoppers", "bought", "pairs", "shelf")
     train, test = evaluate.train_test(pairs)
-    train, test = cut_lineage(train), cut_lineage(test)  # both are used several times
     pop = serve.popularity(train)
     ranked = keyed.global_rank(pop.withColumn("product_name", F.col("product_id")), [F.col("n").desc(), F.col("product_id").asc()], "position")
     popular = serve.unseen_popular(shoppers, train, ranked, 5)
@@ -429,7 +421,7 @@ def two_models(spark, sf):
 def popular_list(spark, sf):
     """The popular products of the training rows for all customers, and the test rows."""
     shoppers, pairs = inputs(spark, sf, "shoppers", "pairs")
-    train, test = (cut_lineage(df) for df in evaluate.train_test(pairs))  # both are used several times
+    train, test = evaluate.train_test(pairs)
     ranked = keyed.global_rank(serve.popularity(train).withColumn("product_name", F.col("product_id")),
                                [F.col("n").desc(), F.col("product_id").asc()], "position")
     return serve.unseen_popular(shoppers, train, ranked, 5), test

@@ -10,8 +10,7 @@ from shelfwise.plans import sqltext as q
 from shelfwise.plans.core_queries import CATEGORICAL, CONTENT, NUMERIC, SEGMENTS, content_model
 from shelfwise.plans.registry import query
 from shelfwise.plans.roles import inputs, one
-from shelfwise.plans.tenant_run import run_tenants, score_models
-from shelfwise.session import cut_lineage
+from shelfwise.plans.tenant_run import MODELS, run_tenants, score_models
 
 CUSTOMER_FEATURES = (Feature("c_acctbal"), Feature("c_nationkey"), Feature("c_mktsegment", "categorical", SEGMENTS, "one_hot"))
 PRODUCT_FEATURES = (Feature("price"), Feature("category", "categorical", ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"), "one_hot"))
@@ -120,15 +119,25 @@ def ranking_topk(spark, sf):
 def model_tournament(spark, sf):
     """All four models on the training rows, measured on the held-out ones."""
     shoppers, pairs, shelf = inputs(spark, sf, "shoppers", "pairs", "shelf")
-    train, test = (cut_lineage(df) for df in evaluate.train_test(pairs))
+    train, test = evaluate.train_test(pairs)
     return score_models(shoppers, cleaning.active_catalog(shelf), train, test, NUMERIC, CATEGORICAL, PRODUCT_FEATURES)
 
 
-@query("train_all_tenants")
-def train_all_tenants(spark, sf):
-    """Split, fit, measure and refit per tenant; lists of the winning model for all customers."""
+def trained_tenants(spark, sf, models):
     shoppers, bought, shelf = inputs(spark, sf, "shoppers", "bought", "shelf")
     facts = bought.join(shoppers.select("customer_id", "tenant_id"), "customer_id").select("tenant_id", "customer_id", "product_id")
-    return run_tenants(shoppers, shelf, facts, NUMERIC, CATEGORICAL, PRODUCT_FEATURES, models=("content", "collaborative"), n=5)
+    return run_tenants(shoppers, shelf, facts, NUMERIC, CATEGORICAL, PRODUCT_FEATURES, models=models, n=5)
+
+
+@query("train_all_tenants")
+def train_all_tenants(spark, sf):
+    """Content against collaborative model per tenant; lists of the winner for all customers."""
+    return trained_tenants(spark, sf, ("content", "collaborative"))
+
+
+@query("run_pipeline_all_tenants")
+def run_pipeline_all_tenants(spark, sf):
+    """Split, fit all four models, measure and refit the winner per tenant; its lists for all customers."""
+    return trained_tenants(spark, sf, MODELS)
 
 

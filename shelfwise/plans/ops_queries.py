@@ -89,9 +89,9 @@ def funnel_by_source(spark, sf):
     SELECT tenant_id, rank, event_id, event_type, product_id, coalesce(product_name, product_id) AS product_name,
         CASE WHEN s < 60 THEN 'Just now' WHEN s < 3600 THEN (s // 60) || 'm ago' WHEN s < 86400 THEN (s // 3600) || 'h ago' WHEN s < 172800 THEN 'Yesterday' ELSE strftime(ts, '%b %d') END AS ago
     FROM (SELECT *, row_number() OVER (PARTITION BY tenant_id ORDER BY ts DESC, event_id DESC) AS rank, greatest(0, (epoch_us(TIMESTAMP '2024-01-31 00:00:00') - epoch_us(ts)) // 1000000) AS s
-          FROM signals WHERE type = 'event') LEFT JOIN (SELECT product_id, product_name FROM shelf) USING (product_id) WHERE rank <= 20""")
+          FROM signals WHERE type = 'event' AND CAST(ts AS DATE) BETWEEN DATE '2024-01-29' AND DATE '2024-01-31') LEFT JOIN (SELECT product_id, product_name FROM shelf) USING (product_id) WHERE rank <= 20""")
 def recent_events_enriched(spark, sf):
-    return tel.recent_events(signals(spark, sf), one(spark, sf, "shelf"), F.lit("2024-01-31 00:00:00").cast("timestamp_ntz"))
+    return tel.recent_events(signals(spark, sf), one(spark, sf, "shelf"), dt.datetime(2024, 1, 31))
 
 
 @query("telemetry_retention", "signals", sql="""

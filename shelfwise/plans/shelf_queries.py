@@ -18,6 +18,8 @@ STOP_SQL = ", ".join(f"'{w}'" for w in STOP)
 # ---- feature blocks ---------------------------------------------------------------------------
 
 A = q.ACTIVE_SHELF
+# parsed specifications, then the one numeric column that catalogues do not have in common
+SPECS = f"(SELECT product_id, k, v, pos FROM {SPEC_ROWS.format(source=A)} UNION ALL SELECT product_id, 'p_partkey', CAST(product_id AS DOUBLE), 100 FROM {A})"
 GRP = "coalesce(lower(category), '__general__')"
 
 
@@ -32,7 +34,7 @@ PRICE_SQL = f"""(SELECT product_id, feature, CASE feature WHEN 'price:0' THEN s
     max(ln(1 + price)) OVER (PARTITION BY {GRP}) AS hi FROM {A} WHERE price > 0)) CROSS JOIN (VALUES ('price:0'), ('price:1')) f(feature))"""
 SPECS_SQL = f"""(SELECT product_id, 'spec:' || grp || '__' || k || ':' || side AS feature, CASE side WHEN 0 THEN s ELSE 1 - s END * sqrt(0.35 / 2) AS value FROM (
     SELECT product_id, grp, k, {scaled('v')} AS s FROM (SELECT *, min(v) OVER (PARTITION BY grp, k) AS lo, max(v) OVER (PARTITION BY grp, k) AS hi
-    FROM {SPEC_ROWS.format(source=A)} r JOIN (SELECT product_id, {GRP} AS grp FROM {A}) g USING (product_id))) CROSS JOIN (VALUES (0), (1)) f(side))"""
+    FROM {SPECS} r JOIN (SELECT product_id, {GRP} AS grp FROM {A}) g USING (product_id))) CROSS JOIN (VALUES (0), (1)) f(side))"""
 TEXT_SQL = f"""(WITH tok AS (SELECT product_id, unnest(regexp_extract_all(lower(trim(product_name || ' ' || coalesce(description, '') || ' ' || coalesce(tags, ''))), '\\b\\w\\w+\\b')) AS term FROM {A}),
     cnt AS (SELECT product_id, term, count(*) AS tf FROM tok WHERE term NOT IN ({STOP_SQL}) GROUP BY 1, 2),
     df AS (SELECT term, count(*) AS df, sum(tf) AS total FROM cnt GROUP BY 1 ORDER BY total DESC, term LIMIT 2000),
@@ -113,18 +115,19 @@ REASONS = f"""(SELECT m.product_id, m.other_id, m.rank, m.similarity, list_filte
         CASE WHEN t.price > 0 AND c.price > 0 THEN CASE WHEN round(t.price - c.price) >= 1 THEN 'Lower price by ' || format('{{:,}}', CAST(round(t.price - c.price) AS BIGINT))
             WHEN round(t.price - c.price) <= -1 THEN 'Higher price by ' || format('{{:,}}', CAST(round(c.price - t.price) AS BIGINT)) ELSE 'Same price' END END,
         CASE WHEN ram >= 0.7 AND disk >= 0.7 THEN 'Similar RAM and storage' WHEN ram >= 0.7 THEN 'Similar RAM' WHEN disk >= 0.7 THEN 'Similar storage'
-            WHEN ram IS NULL AND disk IS NULL AND size >= 0.75 THEN 'Similar size cm' WHEN ram IS NULL AND disk IS NULL AND weight >= 0.75 THEN 'Similar weight' END], lambda x: x IS NOT NULL) AS why,
+            WHEN ram IS NULL AND disk IS NULL AND size >= 0.75 THEN 'Similar size cm' WHEN ram IS NULL AND disk IS NULL AND weight >= 0.75 THEN 'Similar weight'
+            WHEN ram IS NULL AND disk IS NULL AND number >= 0.75 THEN 'Similar p partkey' END], lambda x: x IS NOT NULL) AS why,
         len(list_intersect({word_set('t.description')}, {word_set('c.description')})) >= 3 AS described
     FROM m JOIN {A} t ON t.product_id = m.product_id JOIN {A} c ON c.product_id = m.other_id LEFT JOIN (
         SELECT product_id, other_id, max(r) FILTER (k = 'ram_gb') AS ram, max(r) FILTER (k = 'storage_gb') AS disk,
-            max(r2) FILTER (k = 'size_cm') AS size, max(r2) FILTER (k = 'weight_g') AS weight FROM (
+            max(r2) FILTER (k = 'size_cm') AS size, max(r2) FILTER (k = 'weight_g') AS weight, max(r2) FILTER (k = 'p_partkey') AS number FROM (
             SELECT m.product_id, m.other_id, x.k, least(x.v, y.v) / greatest(1e-6, greatest(x.v, y.v)) AS r, CASE WHEN greatest(x.v, y.v) > 0 THEN least(x.v, y.v) / greatest(x.v, y.v) END AS r2
             FROM m JOIN sp x ON x.product_id = m.product_id JOIN sp y ON y.product_id = m.other_id AND x.k = y.k) GROUP BY 1, 2) z ON z.product_id = m.product_id AND z.other_id = m.other_id)"""
 WHY = "CASE WHEN len(why) < 2 AND described THEN list_append(why, 'Similar description') ELSE why END"
 
 
 @query("sim_reasons", "shelf", sql=f"""
-    WITH vec AS MATERIALIZED (SELECT * FROM {VECTORS}), m AS MATERIALIZED (SELECT * FROM {matches_sql(4)}), sp AS MATERIALIZED (SELECT * FROM {SPEC_ROWS.format(source=A)})
+    WITH vec AS MATERIALIZED (SELECT * FROM {VECTORS}), m AS MATERIALIZED (SELECT * FROM {matches_sql(4)}), sp AS MATERIALIZED (SELECT * FROM {SPECS})
     SELECT product_id, other_id, CASE WHEN len({WHY}) = 0 THEN 'Similar attributes' ELSE array_to_string({WHY}, '; ') END AS reasons FROM {REASONS}""")
 def sim_reasons(spark, sf):
     act = active(spark, sf)
@@ -144,11 +147,11 @@ def sim_topup(spark, sf):
     return sim.popular_fill(shelf.where(~cleaning.is_active()), active(spark, sf), serve.popularity(bought), 4)
 
 
-LABELS = "CASE k WHEN 'ram_gb' THEN 'RAM (GB)' WHEN 'storage_gb' THEN 'Storage (GB)' WHEN 'weight_g' THEN 'Weight (g)' WHEN 'size_cm' THEN 'Size Cm' END"
+LABELS = "CASE k WHEN 'ram_gb' THEN 'RAM (GB)' WHEN 'storage_gb' THEN 'Storage (GB)' WHEN 'weight_g' THEN 'Weight (g)' WHEN 'size_cm' THEN 'Size Cm' WHEN 'p_partkey' THEN 'P Partkey' END"
 
 
 @query("sim_result_rows", "shelf", "bought", "clicks", sql=f"""
-    WITH vec AS MATERIALIZED (SELECT * FROM {VECTORS}), m AS MATERIALIZED (SELECT * FROM {matches_sql(4)}), sp AS MATERIALIZED (SELECT * FROM {SPEC_ROWS.format(source=A)}),
+    WITH vec AS MATERIALIZED (SELECT * FROM {VECTORS}), m AS MATERIALIZED (SELECT * FROM {matches_sql(4)}), sp AS MATERIALIZED (SELECT * FROM {SPECS}),
     txt AS (SELECT product_id, string_agg({LABELS} || '=' || CAST(v AS BIGINT), ', ' ORDER BY pos) AS specs FROM sp GROUP BY 1),
     pop AS (SELECT product_id, count(*) AS n FROM bought GROUP BY 1),
     dead AS (SELECT product_id, category, price, 'inactive_product' AS reason FROM shelf WHERE NOT {q.ACTIVE}
@@ -157,10 +160,11 @@ LABELS = "CASE k WHEN 'ram_gb' THEN 'RAM (GB)' WHEN 'storage_gb' THEN 'Storage (
              FROM dead d JOIN {A} a ON (d.category IS NULL OR lower(d.category) = lower(a.category)) AND a.product_id <> d.product_id LEFT JOIN pop ON pop.product_id = a.product_id),
     r AS (SELECT product_id, other_id, rank, round(similarity, 2) AS similarity, CASE WHEN len({WHY}) = 0 THEN 'Similar attributes' ELSE array_to_string({WHY}, '; ') END AS reasons,
               (SELECT price FROM {A} t WHERE t.product_id = x.product_id) AS target, NULL AS reason FROM {REASONS} x
-          UNION ALL SELECT product_id, other_id, rank, 0, CASE WHEN category IS NULL THEN 'Popular product' ELSE 'Popular in this category' END, price, reason FROM fill WHERE rank <= 4)
-    SELECT r.product_id, r.rank, r.other_id, c.product_name, c.category, c.brand, c.price, r.similarity, r.reasons, coalesce(txt.specs, '') AS specs, round(c.price - target, 2) AS price_diff,
+          UNION ALL SELECT product_id, other_id, rank, 0, CASE WHEN category IS NULL THEN 'Popular product' ELSE 'Popular in this category' END, price, reason FROM fill WHERE rank <= 4
+          UNION ALL SELECT product_id, NULL, NULL, NULL, NULL, NULL, 'limited_product_data' FROM {A} WHERE product_id NOT IN (SELECT product_id FROM m))
+    SELECT r.product_id, r.rank, r.other_id, c.product_name, c.category, c.brand, c.price, r.similarity, r.reasons, CASE WHEN r.other_id IS NOT NULL THEN coalesce(txt.specs, '') END AS specs, round(c.price - target, 2) AS price_diff,
         CASE WHEN target > 0 THEN round((c.price - target) / target * 100, 1) END AS price_diff_pct, reason AS fallback_reason
-    FROM r JOIN {A} c ON c.product_id = r.other_id LEFT JOIN txt ON txt.product_id = r.other_id""")
+    FROM r LEFT JOIN {A} c ON c.product_id = r.other_id LEFT JOIN txt ON txt.product_id = r.other_id""")
 def sim_result_rows(spark, sf):
     shelf, bought, clicks = inputs(spark, sf, "shelf", "bought", "clicks")
     unknown = clicks.where(F.trim("product_id") != "").select(F.concat(F.lit("x"), F.trim("product_id")).alias("product_id")).distinct()
@@ -344,7 +348,10 @@ def feed_xml_parse(spark, sf):
     pid = F.when(k % 11 != 0, F.concat(F.lit("P"), k.cast("string")))
     title, price, kind = F.when(k % 3 != 0, F.col("p_name")), F.when(k % 7 != 0, F.concat(F.col("p_retailprice").cast("string"), F.lit(" USD"))), F.when(k % 4 != 0, F.col("p_type"))
     doc = F.floor(k / 100)
-    rss = F.concat(F.lit("<item>"), tag("g:id", pid), tag("title", title), tag("g:price", price), tag("g:product_type", kind), F.lit("</item>"))
+    # a nested price is not the product's; names come with a numeric entity and as CDATA
+    nested, plain = F.lit("<g:shipping><g:price>3 USD</g:price></g:shipping>"), title
+    title = F.when(k % 2 == 0, F.concat(F.lit("<![CDATA["), plain, F.lit("]]>"))).otherwise(F.concat(F.lit("&#x"), F.lower(F.hex(F.ascii(plain))), F.lit(";"), F.substring(plain, F.lit(2), F.length(plain))))
+    rss = F.concat(F.lit("<item>"), nested, tag("g:id", pid), tag("title", title), tag("g:price", price), tag("g:product_type", kind), F.lit("</item>"))
     atom = F.concat(F.lit("<entry>"), tag("id", pid), tag("g:title", title), tag("price", price), tag("category", kind), F.lit("</entry>"))
     docs = part.select(doc.alias("doc"), F.when(doc % 2 == 0, rss).otherwise(atom).alias("item")).groupBy("doc").agg(F.array_join(F.collect_list("item"), "").alias("items"))
     head = '<rss xmlns:g="http://base.google.com/ns/1.0" version="2.0"><channel>'

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from shelfwise.functions.ids import strip
 from shelfwise.functions.text import clean_price
-from shelfwise.functions.values import let
 
 # fixed values: accepted field names, first non-empty one wins
 ID_FIELDS = ("product_id", "id", "sku", "g:id")
@@ -32,7 +31,8 @@ def _shape(pid: Column, name: Column, price: Column, category: Column) -> list[C
 def parse_json_feed(df: DataFrame, payload: str) -> DataFrame:
     """Rows of every JSON document: a list, or an object with the list under one of ROOTS.
 
-    Items without an id are dropped.  Fields are read as text, so numbers and texts both work.
+    Items without an id are dropped.  Fields are read as text, so numbers and texts both work; the JSON type only tells
+    the number 0 and the value false, which count as absent, from the texts "0" and "false".
     """
     text = F.col(payload)
     lists = [F.from_json(F.get_json_object(text, "$"), "array<string>")] + [
@@ -41,11 +41,16 @@ def parse_json_feed(df: DataFrame, payload: str) -> DataFrame:
     items = F.when(is_list, lists[0]).otherwise(F.coalesce(*lists[1:]))
     rows = df.select(F.explode(items).alias("item"))
     fields = ", ".join(f"`{f}` string" for f in (*ID_FIELDS, *NAME_FIELDS, *PRICE_FIELDS, *CATEGORY_FIELDS))
-    rows = rows.select(F.from_json("item", fields).alias("i"))
+    rows = rows.select(F.from_json("item", fields).alias("i"), F.try_parse_json("item").alias("v"))
+
+    def present(n: str) -> Column:
+        value = F.col(f"i.`{n}`")
+        is_text = F.schema_of_variant(F.try_variant_get("v", f"$['{n}']", "variant")) == "STRING"
+        empty = (value == "") | ((value == "false") | (value.try_cast("double") == 0)) & ~F.coalesce(is_text, F.lit(False))
+        return F.when(~F.coalesce(empty, F.lit(False)), value)
 
     def first(names: tuple[str, ...]) -> Column:
-        # empty text, zero and false count as absent
-        return F.coalesce(*[F.when(~F.col(f"i.`{n}`").isin("", "0", "0.0", "false"), F.col(f"i.`{n}`")) for n in names])
+        return F.coalesce(*[present(n) for n in names])
 
     return rows.where(first(ID_FIELDS).isNotNull()).select(
         *_shape(first(ID_FIELDS), first(NAME_FIELDS), first(PRICE_FIELDS), first(CATEGORY_FIELDS)))
@@ -66,28 +71,20 @@ def parse_shop_products(df: DataFrame, payload: str) -> DataFrame:
 def parse_xml_feed(df: DataFrame, payload: str) -> DataFrame:
     """Rows of RSS ``item`` and Atom ``entry`` elements, whatever their namespace prefix.
 
-    Elements and their children are cut out by pattern inside the JVM; per column the first
-    non-empty child in document order wins.
+    Elements are cut out by pattern, their direct children read by XPath; per column the first non-empty child in
+    document order wins.  An element that is no well-formed XML is left out.
     """
     element = r"(?is)<(?:\w+:)?(?:item|entry)(?:\s[^>]*)?>.*?</(?:\w+:)?(?:item|entry)\s*>"
     rows = df.select(F.explode(F.regexp_extract_all(F.col(payload), F.lit(element), F.lit(0))).alias("xml"))
-    child = r"(?is)<(?:\w+:)?(\w+)(?:\s[^>]*)?>\s*((?:<!\[CDATA\[.*?\]\]>|[^<])*?)\s*</"
-    inner = F.regexp_replace("xml", r"(?is)^<[^>]*>", "")
-    found = rows.select(F.transform(
-        F.arrays_zip(F.regexp_extract_all(inner, F.lit(child), F.lit(1)).alias("k"), F.regexp_extract_all(inner, F.lit(child), F.lit(2)).alias("v")),
-        lambda e: F.struct(F.lower(e["k"]).alias("k"), _unescape(strip(e["v"])).alias("v"))).alias("kv"))
+    # prefixes need no declaration once names are compared without them
+    sound = F.from_xml("xml", "_corrupt_record string", {"mode": "PERMISSIVE"})["_corrupt_record"].isNull()
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
     def first(names: tuple[str, ...]) -> Column:
-        return let(F.filter("kv", lambda e: e["k"].isin(*names) & (e["v"] != "")), lambda f: F.get(f, F.lit(0)))["v"]
+        own = " or ".join(f"translate(local-name(), '{upper}', '{lower}') = '{n}'" for n in names)
+        text = F.xpath_string("xml", F.lit(f"/*/*[{own}]/text()[normalize-space()][1]"))
+        return F.when(sound, F.nullif(strip(text), F.lit("")))
 
-    cols = {c: first(names) for c, names in XML_FIELDS.items()}
-    return found.select(*[v.alias(c) for c, v in cols.items()]).where("product_id is not null").select(
+    found = rows.select(*[first(names).alias(c) for c, names in XML_FIELDS.items()])
+    return found.where("product_id is not null").select(
         *_shape(F.col("product_id"), F.col("product_name"), F.col("price"), F.col("category")))
-
-
-def _unescape(c: Column) -> Column:
-    """CDATA marks and the five XML entities."""
-    out = F.regexp_replace(c, r"(?s)^<!\[CDATA\[(.*)\]\]>$", "$1")
-    for entity, text in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
-        out = F.replace(out, F.lit(entity), F.lit(text))
-    return out

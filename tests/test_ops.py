@@ -2,10 +2,12 @@ import datetime as dt
 from collections import deque
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows
 from shelfwise.operators import identity, limiter, ops, profile
+from shelfwise.plans import tenant_run
 from shelfwise.session import durable_path
 from shelfwise.sources import tables
 from shelfwise.streaming import jobs
@@ -51,6 +53,33 @@ def test_rate_limit(spark):
         assert got == want
 
 
+def test_limits_per_tenant_and_scope(make):
+    asked = make("tenant_id string, scope string, s long, id long", *[(t, s, i, 10 * n + i) for n, (t, s) in enumerate(
+        [("a", "catalog"), ("a", "tracking"), ("b", "catalog"), ("c", "onboarding"), ("c", "other"), ("d", "catalog")]) for i in range(8)])
+    limits = make("tenant_id string, scope string, limit_per_minute int", ("a", "catalog", 2), ("a", None, 4), ("b", None, 3), ("d", "catalog", 0))
+    df = limiter.with_limits(asked, limits).selectExpr("*", "timestamp_seconds(s) ts")
+    out = limiter.limit_requests(df, ["tenant_id", "scope"], "ts", "id", F.col("limit_per_minute"))
+    allowed = out.where("allowed").groupBy("tenant_id", "scope").count().collect()
+    assert {(r[0], r[1]): r[2] for r in allowed} == {
+        ("a", "catalog"): 2, ("a", "tracking"): 4, ("b", "catalog"): 3, ("c", "onboarding"): 5, ("c", "other"): 8}
+    assert {r.retry_after for r in out.where("tenant_id = 'd'").collect()} == {60}
+
+
+def test_failed_models(make, monkeypatch):
+    def lists(name, *_):
+        if name != "hybrid":
+            raise ValueError(name)
+        return make("customer_id string, product_id string, rank int", ("a", "y", 1))
+
+    monkeypatch.setattr(tenant_run, "model_lists", lists)
+    people, held = make("customer_id string", "a"), make("customer_id string, product_id string", ("a", "x"))
+    got = {r.model: (r.status, r.is_winner) for r in tenant_run.score_models(people, held, held, held, [], [], []).collect()}
+    # the only model that ran wins with nothing found
+    assert got == {"content": ("failed", False), "collaborative": ("failed", False), "hybrid": ("completed", True), "ranking": ("failed", False)}
+    with pytest.raises(ValueError, match="every model failed"):
+        tenant_run.score_models(people, held, held, held, [], [], [], models=("content", "ranking"))
+
+
 def test_readiness_and_plan(make):
     status = make("tenant_id string, status string, trained boolean", ("a", None, False), ("b", "ready_to_train", False), ("c", "running", False), ("d", "completed", True), ("e", None, False))
     counts = make("tenant_id string, customers long, interactions long", ("a", 50, 200), ("b", 60, 300), ("e", 49, 900))

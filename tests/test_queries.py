@@ -11,7 +11,7 @@ import __spark_entry__ as entry  # noqa: E402
 from compare import canonical  # noqa: E402
 from shelfwise.plans.roles import TABLES  # noqa: E402
 
-SLOW = {"train_all_tenants", "model_tournament", "hybrid_blend", "ranking_fit", "ranking_topk"}  # covered by tools/compare.py
+SLOW = {"train_all_tenants", "run_pipeline_all_tenants", "model_tournament", "hybrid_blend", "ranking_fit", "ranking_topk"}  # covered by tools/compare.py
 
 
 @pytest.fixture(scope="module")

@@ -40,6 +40,21 @@ def test_reasons(make):
     assert got["d"] == ["Same category", "Same brand", "Higher price by 2,500"]
 
 
+def test_products_without_features_or_partners(make):
+    empty = product("z", "x", None, None, None, None, None)
+    df = make(PRODUCTS, empty, product("a", "phone"), product("b", "phone", category="lonely"))
+    vectors = sim.unit_vectors(df)
+    assert {r.product_id for r in vectors.collect()} == {"a", "b", "z"}
+    out = sim.result_rows(df.select("product_id"), df, df, sim.top_similar(vectors, 2), make("product_id string, n long"), 2).collect()
+    assert {(r.product_id, r.other_id, r.fallback_reason) for r in out} == {
+        ("z", "a", None), ("z", "b", None), ("a", None, "limited_product_data"), ("b", None, "limited_product_data")}
+
+
+def test_numeric_extra_columns_are_specs(make):
+    df = make(PRODUCTS, product("a", "x", specs="ram_gb=8"), product("b", "y", specs=None)).selectExpr("*", "if(product_id = 'a', '5', 'no') AS Watts")
+    assert rows(sim.spec_rows(df).select("product_id", "spec", "x")) == [("a", "ram_gb", 8.0), ("a", "watts", 5.0)]
+
+
 def test_weights():
     w = sim.block_weights({"brand": 0, "unknown": 3})
     assert w["brand"] == 0 and abs(sum(w.values()) - 1) < 1e-12
@@ -112,6 +127,11 @@ def test_feeds(make):
     atom = '<feed xmlns="a" xmlns:g="x"><entry><id>2</id><g:title><![CDATA[C]]></g:title></entry></feed>'
     got = feeds.parse_xml_feed(make("v string", rss, atom), "v").fillna("-").fillna(0.0)
     assert rows(got) == [("1", "A & B", 19.99, "T"), ("2", "C", 0.0, "-")]
+    odd = '<rss xmlns:g="x"><channel><item><id>3</id><shipping><price>3</price></shipping><price>5</price><title>Bob&#39;s caf&#xe9;</title></item>' \
+          '<item><id>4</id><title>broken & bare</title></item></channel></rss>'
+    assert rows(feeds.parse_xml_feed(make("v string", odd), "v").fillna("-")) == [("3", "Bob's café", 5.0, "-")]
+    falsy = make("v string", '[{"id": "0", "title": "false", "price": "0"}, {"id": 0, "title": "x"}, {"id": 1, "title": false, "price": 0, "sale_price": 2}]')
+    assert rows(feeds.parse_json_feed(falsy, "v").fillna("-")) == [("0", "false", 0.0, "-"), ("1", "1", 2.0, "-")]
     js = make("v string", '[{"id": 7, "title": "x", "sale_price": 3}, {"title": "none"}]', '{"items": [{"sku": "s", "price": "$4"}]}', '{"other": 1}')
     assert rows(feeds.parse_json_feed(js, "v").fillna("-")) == [("7", "x", 3.0, "-"), ("s", "s", 4.0, "-")]
     shop = make("v string", '{"id": 5, "title": "t", "variants": [{"price": "9.5"}], "price": "1"}', '{"id": 6, "product_type": "k", "variants": [], "price": 2}', '{"title": "x"}')
