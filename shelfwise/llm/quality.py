@@ -24,6 +24,7 @@ PASSAGE = 64  # words
 MAX_DOCS = 6000  # labelled documents that the fit reads, as near as a hash of the id can say
 EPOCHS = 12
 CACHE_WORDS = 200_000
+LONG = 200  # characters; a longer word counts as several words of so many
 SAMPLE = pa.schema([("doc_id", pa.string()), ("label", pa.int64()), ("features", pa.binary())])
 WEIGHTS = pa.schema([("name", pa.string()), ("shape", pa.list_(pa.int64())), ("values", pa.binary())])
 
@@ -35,6 +36,13 @@ def shape(word: str) -> str:
     return _SAME.sub(r"\1", _DIGITS.sub("0", _LOWER.sub("a", _UPPER.sub("A", word))))
 
 
+def pieces(word: bytes) -> list[bytes]:
+    if len(word) <= LONG:
+        return [word]
+    text = word.decode("utf-8", "replace")
+    return [text[a:a + LONG].encode() for a in range(0, len(text), LONG)]
+
+
 class Features(dict):
     """word -> (word bucket) * BUCKETS + (shape bucket)"""
 
@@ -43,7 +51,7 @@ class Features(dict):
 
         half = BUCKETS // 2
         text = word.decode("utf-8", "replace")
-        got = (xxhash.xxh3_64_intdigest(text.lower()) % half) * BUCKETS + half + xxhash.xxh3_64_intdigest(shape(text[:200])) % half
+        got = (xxhash.xxh3_64_intdigest(text.lower()) % half) * BUCKETS + half + xxhash.xxh3_64_intdigest(shape(text)) % half
         self[word] = got
         return got
 
@@ -51,6 +59,8 @@ class Features(dict):
         if len(self) > CACHE_WORDS:
             self.clear()
         words = text.split()
+        if max(map(len, words), default=0) > LONG:
+            words = [piece for word in words for piece in pieces(word)]
         return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
 

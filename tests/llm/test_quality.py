@@ -75,3 +75,13 @@ def test_held_out(spark):
     good, bad = [s for s, y in held if y == 1], [s for s, y in held if y == 0]
     auc = np.mean([[1.0 if g > b else 0.5 if g == b else 0.0 for b in bad] for g in good])
     assert auc > 0.9, (auc, np.mean([(s >= 0.7) == y for s, y in held]))
+
+
+def test_long_words_count_to_their_end():
+    """A text without blanks has features for every part of it, not for its first characters only."""
+    start, good, bad = "語" * 200, "文" * 400, "!?" * 200
+    one, two = (qu.Features().of((start + x).encode()) for x in (good, bad))
+    assert len(one) == len(two) == 3 and one[0] == two[0]
+    assert set(one[1:] % qu.BUCKETS) != set(two[1:] % qu.BUCKETS)
+    whole = qu.Features().of(" ".join([start, good[:200], good[200:]]).encode())
+    assert one.tolist() == whole.tolist()
