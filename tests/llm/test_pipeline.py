@@ -82,3 +82,14 @@ def test_run(spark, sf, stages):
     empty = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     for _, stage in cp.STAGES:
         assert stage(spark, empty, sf).collect() == []
+
+
+def test_near_is_five_words_and_four_fifths(spark, sf):
+    """The stage drops near copies at a similarity of 0.8 on five words, here texts with 18 to 30 % more text at the end."""
+    rows = []
+    for i, more in enumerate((18, 20, 22, 24, 25, 26, 28, 30)):
+        base = [f"w{i}_{j}" for j in range(104)]
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(base + [f"m{i}_{j}" for j in range(more)]))]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(r.doc_id for r in cp.drop_near_copies(spark, docs, sf).collect())
+    assert got == sorted(d for d, _, c in brute(rows, 80, 100, 5) if d == c) and len(got) == 11
