@@ -24,7 +24,3 @@ def sf():
 def make(spark):
     """make("a string, b int", (1, 2), ...) -> DataFrame"""
     return lambda schema, *rows: spark.createDataFrame([r if isinstance(r, tuple) else (r,) for r in rows], schema)
-
-
-def rows(df, *cols):
-    return sorted(tuple(r[c] for c in (cols or df.columns)) for r in df.collect())

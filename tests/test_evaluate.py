@@ -3,7 +3,7 @@ import math
 import numpy as np
 import pytest
 
-from conftest import rows
+from helpers import rows
 from shelfwise.config import Segmentation
 from shelfwise.operators import evaluate, keyed
 

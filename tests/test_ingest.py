@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows
+from helpers import rows
 from shelfwise.config import Feature, ServiceColumns, Tenant, TransactionColumns, tenant_from_dict
 from shelfwise.operators import cleaning, ingest
 from shelfwise.plans.adapters import DeclaredAdapter

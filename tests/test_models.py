@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from conftest import rows
+from helpers import rows
 from shelfwise.config import Feature
 from shelfwise.operators import blocks, content, factors, ranking
 

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows
+from helpers import rows
 from shelfwise.operators import identity, limiter, ops, profile
 from shelfwise.plans import tenant_run
 from shelfwise.session import durable_path

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows
+from helpers import rows
 from shelfwise.operators import catalog, similarity as sim
 from shelfwise.session import durable_path
 from shelfwise.sources import audit, catalog_store, feeds
