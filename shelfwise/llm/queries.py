@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from shelfwise.llm import embedding_dedup, exact_dedup, language, mixing, ngram_join, packing, quality, sharding, substring_dedup, token_counts
+from shelfwise.llm import embedding_dedup, exact_dedup, language, mixing, ngram_join, packing, quality, sharding, substring_dedup, token_counts, warc
 from shelfwise.llm.common import held_out, table
 from shelfwise.session import cut_lineage
 
@@ -124,3 +124,17 @@ def op9_ngram_join(spark, sf_dir):
 @query("op8_substring_dedup")
 def op8_substring_dedup(spark, sf_dir):
     return substring_dedup.shared_passages(table(spark, sf_dir, "documents"))
+
+
+@query("op13_warc", """
+    WITH digests AS (SELECT page_id, url, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS h,
+        first_value(page_id) OVER w AS first_id, row_number() OVER w AS nr
+        FROM pages WINDOW w AS (PARTITION BY coalesce(html, '') ORDER BY page_id NULLS LAST, url NULLS LAST))
+    SELECT page_id, payload_bytes, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+            1 + (((CAST('0x' || substr(h, 1 + 5 * (i // 4), 5) AS BIGINT)) >> (5 * (3 - i % 4))) & 31), 1)), '') AS payload_digest,
+        CASE WHEN nr = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN nr > 1 THEN first_id END AS refers_to
+    FROM digests""")
+def op13_warc(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    index = warc.write_archives(pages, warc.archive_folder(spark))
+    return warc.read_archives(spark, index, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
