@@ -131,6 +131,7 @@ def likely(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
 
 
 HOT_SHARE = 200  # a key is hot from 1 / HOT_SHARE of the rows on, so there are fewer than HOT_SHARE hot keys
+HOT_ROWS = 1000  # with fewer rows no key is hot
 
 
 def join_hot(left: DataFrame, right: DataFrame, on: str, how: str = "inner") -> DataFrame:
@@ -140,7 +141,7 @@ def join_hot(left: DataFrame, right: DataFrame, on: str, how: str = "inner") ->
     broadcast; those are fewer than HOT_SHARE keys.  ``left`` is read three times: hand in a written table.
     """
     total = left.count()
-    hot = cut_lineage(left.groupBy(on).count().where(F.col("count") * HOT_SHARE > max(total, 1000 * HOT_SHARE)).select(on).where(F.col(on).isNotNull()))
+    hot = cut_lineage(left.groupBy(on).count().where(F.col("count") * HOT_SHARE > max(total, HOT_ROWS * HOT_SHARE)).select(on).where(F.col(on).isNotNull()))
     if hot.isEmpty():
         return left.join(right, on, how)
     few = right.join(F.broadcast(hot), on, "left_semi")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from shelfwise.llm import embedding_dedup, exact_dedup, language, mixing, ngram_join, packing, quality, sharding, substring_dedup, token_counts, warc
+from shelfwise.llm import embedding_dedup, exact_dedup, fim, language, mixing, ngram_join, packing, quality, sharding, spelling, substring_dedup, token_counts, warc
 from shelfwise.llm.common import held_out, table
 from shelfwise.session import cut_lineage
 
@@ -126,6 +126,27 @@ def op8_substring_dedup(spark, sf_dir):
     return substring_dedup.shared_passages(table(spark, sf_dir, "documents"))
 
 
+@query("op11_fill_in_middle", r"""
+    WITH texts AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS t,
+        sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+    drawn AS (SELECT *, len(t) AS n, list_transform(range(4), lambda i: CAST('0x' || substr(h, 1 + 8 * i, 8) AS BIGINT)) AS d FROM texts),
+    formed AS (SELECT *, CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR d[3] % 100 >= 50 THEN 'plain'
+        WHEN d[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form, least(d[1] % (n + 1), d[2] % (n + 1)) AS a, greatest(d[1] % (n + 1), d[2] % (n + 1)) AS b FROM drawn),
+    parts AS (SELECT *, coalesce(array_to_string(t[1:a], ''), '') AS p, coalesce(array_to_string(t[a + 1:b], ''), '') AS m,
+        coalesce(array_to_string(t[b + 1:], ''), '') AS s FROM formed)
+    SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+        sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+        sha256(text) AS restored_sha256 FROM parts""")
+def op11_fill_in_middle(spark, sf_dir):
+    out = fim.restored(fim.fill_in_middle(table(spark, sf_dir, "documents")))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
+
+
+@query("op12_spelling_variants")
+def op12_spelling_variants(spark, sf_dir):
+    return spelling.spelling_variants(spelling.vocabulary(spelling.observed(table(spark, sf_dir, "documents"))))
+
+
 @query("op13_warc", """
     WITH digests AS (SELECT page_id, url, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS h,
         first_value(page_id) OVER w AS first_id, row_number() OVER w AS nr
