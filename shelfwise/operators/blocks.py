@@ -74,15 +74,18 @@ def _score_rows(qids: list, q: np.ndarray, owned: pa.Array | None, ids: np.ndarr
             names=["qid", "iid", "score"])
 
 
-def top_matches(queries: DataFrame, items: DataFrame, k: int, dims: int, exclude: DataFrame | None = None,
-                broadcast_bytes: int = BROADCAST_BYTES, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def top_matches(queries: DataFrame, items: DataFrame, k: int, dims: int | None, exclude: DataFrame | None = None,
+                broadcast_bytes: int = BROADCAST_BYTES, block_rows: int = BLOCK_ROWS, grouped: bool = False) -> DataFrame:
     """(qid, iid, score, rank): the ``k`` items with the largest dot product for every query.
 
     ``queries`` holds (qid, vec), ``items`` (iid, vec) with string ids and ``dims`` numbers per
-    vector; ``exclude`` holds distinct (qid, iid) pairs that must not be returned.
+    vector; ``exclude`` holds distinct (qid, iid) pairs that must not be returned.  With ``grouped`` both sides
+    have a column ``grp``, only rows of one group meet, and an id belongs to one group.
     """
     schema = "qid string, iid string, score double"
     spark = queries.sparkSession
+    if grouped:
+        return _grouped(queries, cut_lineage(items.select("grp", "iid", "vec")), k, exclude, block_rows, schema)
     items = cut_lineage(items.select("iid", "vec"))  # counted, then read again
     fits = row_count_within(items, broadcast_bytes // (8 * (dims + 8)))
     if fits is not None:
@@ -109,6 +112,43 @@ def top_matches(queries: DataFrame, items: DataFrame, k: int, dims: int, exclude
     return top_per_key(scored, ["qid"], [F.col("score").desc(), F.col("iid")], k)
 
 
+def _grouped(queries: DataFrame, items: DataFrame, k: int, exclude: DataFrame | None, block_rows: int, schema: str) -> DataFrame:
+    """Blocks of queries meet the blocks of items of their group; vectors of different groups may differ in length."""
+    queries = queries.select("grp", "qid", "vec")
+    sizes = items.groupBy("grp").agg(F.ceil(F.count("*") / block_rows).alias("i_blocks")).join(
+        queries.groupBy("grp").agg(F.ceil(F.count("*") / block_rows).alias("q_blocks")), "grp")
+    sizes = cut_lineage(sizes)  # a row a group, so Spark knows whether it is small
+    left = queries.join(sizes, "grp").select("grp", "qid", "vec", F.pmod(F.xxhash64("qid"), "q_blocks").alias("qb"),
+                                             F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("i_blocks") - 1)).alias("ib"))
+    block = F.pmod(F.xxhash64("iid"), "i_blocks")
+    right = items.join(sizes, "grp").select(F.col("grp").alias("igrp"), "iid", F.col("vec").alias("ivec"), block.alias("iib"),
+                                            F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("q_blocks") - 1)).alias("iqb"))
+    if exclude is not None:
+        # grouped per query and item block: never longer than one block
+        placed = exclude.select("qid", "iid").join(items.join(sizes, "grp").select("iid", block.alias("ib")), "iid")
+        left = left.join(placed.groupBy("qid", "ib").agg(F.collect_list("iid").alias("owned")), ["qid", "ib"], "left")
+    else:
+        left = left.withColumn("owned", F.lit(None).cast("array<string>"))
+    tasks = even_tasks(queries.sparkSession)
+    left, right = left.repartition(tasks, "grp", "qb", "ib"), right.repartition(tasks, "igrp", "iqb", "iib")
+    scored = left.groupBy("grp", "qb", "ib").cogroup(right.groupBy("igrp", "iqb", "iib")).applyInArrow(_score_blocks(k), schema)
+    return top_per_key(scored, ["qid"], [F.col("score").desc(), F.col("iid")], k)
+
+
+def _score_blocks(k: int):
+    def score(a: pa.Table, b: pa.Table) -> pa.Table:
+        empty = pa.schema([("qid", pa.string()), ("iid", pa.string()), ("score", pa.float64())]).empty_table()
+        if a.num_rows == 0 or b.num_rows == 0:
+            return empty
+        dims = len(b.column("ivec")[0])
+        ids = np.asarray(b.column("iid").to_pylist(), dtype=object)
+        order = np.argsort(ids, kind="stable")
+        out = list(_score_rows(a.column("qid").to_pylist(), matrix(a.column("vec"), dims), a.column("owned").combine_chunks(),
+                               ids[order], matrix(b.column("ivec"), dims)[order], k))
+        return pa.Table.from_batches(out) if out else empty
+    return score
+
+
 def even_tasks(spark: SparkSession) -> int:
     """Task count for work whose cost does not show in its bytes.
 
@@ -136,19 +176,9 @@ def _blocked(queries, items, k, dims, exclude, block_rows, schema) -> DataFrame:
     right = items.select(F.col("iid").alias("iid"), F.col("vec").alias("ivec"), ib.alias("iib"),
                          F.explode(_numbers(q_blocks)).alias("iqb"))
 
-    def score(a: pa.Table, b: pa.Table) -> pa.Table:
-        empty = pa.schema([("qid", pa.string()), ("iid", pa.string()), ("score", pa.float64())]).empty_table()
-        if a.num_rows == 0 or b.num_rows == 0:
-            return empty
-        ids = np.asarray(b.column("iid").to_pylist(), dtype=object)
-        order = np.argsort(ids, kind="stable")
-        out = list(_score_rows(a.column("qid").to_pylist(), matrix(a.column("vec"), dims), a.column("owned").combine_chunks(),
-                               ids[order], matrix(b.column("ivec"), dims)[order], k))
-        return pa.Table.from_batches(out) if out else empty
-
     tasks = even_tasks(queries.sparkSession)
     left, right = left.repartition(tasks, "qb", "ib"), right.repartition(tasks, "iqb", "iib")
-    return left.groupBy("qb", "ib").cogroup(right.groupBy("iqb", "iib")).applyInArrow(score, schema)
+    return left.groupBy("qb", "ib").cogroup(right.groupBy("iqb", "iib")).applyInArrow(_score_blocks(k), schema)
 
 
 # ---- products against products -----------------------------------------------------------------

@@ -34,6 +34,39 @@ def test_svd_matches_numpy(spark):
     assert np.allclose(v.T @ v, np.eye(4), atol=1e-8)
 
 
+@pytest.mark.parametrize("dense_bytes, products", [(None, 150), (0, 60)])
+def test_svd_converges_beyond_its_basis(spark, monkeypatch, dense_bytes, products):
+    """More products than the basis holds, so directions are dropped on the way; both ways, vectors on the driver and in tables."""
+    monkeypatch.setattr(factors, "BASIS_BLOCKS", 3)
+    x, df = random_matrix(spark, 200, products, seed=8, density=0.1)
+    df = df.replace({f"p{j:02d}": f"p{j:03d}" for j in range(100)})
+    model = factors.svd_fit(df, 3, oversample=6, dense_bytes=dense_bytes)
+    got = {r.product_id: r.vec for r in model.products.collect()}
+    v = np.array([got[f"p{j:03d}"] for j in range(products)])
+    _, s, vt = np.linalg.svd(x, full_matrices=False)
+    assert np.allclose(model.singular, s[:3], rtol=1e-6)
+    assert np.allclose(v @ v.T, vt[:3].T @ vt[:3], atol=2e-3)
+
+
+@pytest.mark.parametrize("dense_bytes", [None, 8 * 7 * 25])
+def test_svd_per_scope(spark, dense_bytes):
+    """Scopes of different size share their passes (or are split over several) and each gets the factors it has alone."""
+    made = {t: random_matrix(spark, 40, m, seed=i, density=0.3) for i, (t, m) in enumerate((("a", 24), ("b", 9), ("c", 2), ("d", 40)))}
+    every = None
+    for t, (_, df) in made.items():
+        df = df.selectExpr(f"'{t}' AS tenant_id", f"concat('{t}', customer_id) AS customer_id", f"concat('{t}', product_id) AS product_id")
+        every = df if every is None else every.unionByName(df)
+    model = factors.svd_fit(every, 3, oversample=4, scope="tenant_id", dense_bytes=dense_bytes)
+    got = {r.product_id: r.vec for r in model.products.collect()}
+    for t, (x, _) in made.items():
+        v = np.array([got[f"{t}p{j:02d}"] for j in range(x.shape[1])])
+        _, _, vt = np.linalg.svd(x, full_matrices=False)
+        rank = min(3, max(x.shape[1] - 1, 1))
+        assert np.allclose(v @ v.T, vt[:rank].T @ vt[:rank], atol=1e-3)
+    lists = factors.top_products(model, 2).collect()
+    assert lists and all(r.customer_id[0] == r.product_id[0] for r in lists)
+
+
 def test_cf_topk_drops_owned_and_matches_numpy(spark):
     x, df = random_matrix(spark, seed=2)
     model = factors.svd_fit(df, 3)
