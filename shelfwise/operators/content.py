@@ -17,15 +17,17 @@ class ContentModel:
     vectors: DataFrame  # customer_id, vec
     profiles: DataFrame  # product_id, vec
     names: tuple[str, ...]  # one per vector position
+    groups: tuple[DataFrame, DataFrame] | None = None  # (customer_id, grp) and (product_id, grp) where tenants are fitted side by side
 
 
-def customer_vectors(customers: DataFrame, numeric: Sequence[str], categorical: Sequence[str]) -> tuple[DataFrame, tuple[str, ...]]:
+def customer_vectors(customers: DataFrame, numeric: Sequence[str], categorical: Sequence[str], scope: str | None = None) -> tuple[DataFrame, tuple[str, ...]]:
     """Scaled numeric features followed by indicator columns, as one array per customer."""
     indicators = dummy_columns(vocabulary(customers, categorical))
     names = (*numeric, *indicators)
     if not names:
         raise ValueError("no customer features")
-    rows = with_scaled(customers.select("customer_id", *dict.fromkeys([*numeric, *categorical])), numeric) if numeric else customers
+    own = [scope] if scope else []
+    rows = with_scaled(customers.select("customer_id", *own, *dict.fromkeys([*numeric, *categorical])), numeric, scope) if numeric else customers
     return rows.select("customer_id", F.array(*[F.col(c) for c in numeric], *indicators.values()).alias("vec")), names
 
 
@@ -49,9 +51,13 @@ def unit(vec: Column) -> Column:
     return let(norm, lambda n: F.transform(vec, lambda x: F.when(n > 0, x / n).otherwise(0.0)))
 
 
-def fit(customers: DataFrame, interactions: DataFrame, numeric: Sequence[str], categorical: Sequence[str]) -> ContentModel:
-    vectors, names = customer_vectors(customers, numeric, categorical)
-    return ContentModel(vectors, product_profiles(interactions, vectors, len(names)), names)
+def fit(customers: DataFrame, interactions: DataFrame, numeric: Sequence[str], categorical: Sequence[str], scope: str | None = None) -> ContentModel:
+    """With ``scope`` (a column of both tables that the ids determine) every scope is scaled and matched by itself."""
+    vectors, names = customer_vectors(customers, numeric, categorical, scope)
+    groups = None
+    if scope:
+        groups = (customers.select("customer_id", F.col(scope).alias("grp")), interactions.select("product_id", F.col(scope).alias("grp")).distinct())
+    return ContentModel(vectors, product_profiles(interactions, vectors, len(names)), names, groups)
 
 
 def top_products(model: ContentModel, k: int, offered: DataFrame | None = None) -> DataFrame:
@@ -60,5 +66,9 @@ def top_products(model: ContentModel, k: int, offered: DataFrame | None = None)
     items = model.profiles.select(F.col("product_id").alias("iid"), unit(F.col("vec")).alias("vec"))
     if offered is not None:
         items = items.join(offered.select(F.col("product_id").alias("iid")), "iid", "left_semi")
-    out = top_matches(queries, items, k, len(model.names))
+    if model.groups:
+        people, goods = model.groups
+        queries = queries.join(people.withColumnRenamed("customer_id", "qid"), "qid")
+        items = items.join(goods.withColumnRenamed("product_id", "iid"), "iid")
+    out = top_matches(queries, items, k, len(model.names), grouped=model.groups is not None)
     return out.select(F.col("qid").alias("customer_id"), F.col("iid").alias("product_id"), "score", "rank")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from shelfwise.config import Feature
 from shelfwise.functions.text import slug
+from shelfwise.session import cut_lineage
 
 MAX_VOCABULARY = 100_000
 
@@ -61,15 +62,19 @@ def resolve_features(df: DataFrame, columns: Sequence[str]) -> tuple[Feature, ..
         for c in columns if c in numeric or values.get(c))
 
 
-def with_scaled(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+def with_scaled(df: DataFrame, columns: Sequence[str], scope: str | None = None) -> DataFrame:
     """Replaces the columns by (x - mean) / population deviation: null counts as 0, a flat column is only
     centred.
 
-    Mean and deviation of all columns come from one aggregate that Spark runs once, as a scalar subquery.
+    Mean and deviation of all columns come from one aggregate that Spark runs once, as a scalar subquery; with
+    ``scope`` every value of that column has its own.
     """
     filled = {c: F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")), F.lit(0.0)) for c in columns}
-    stats = df.agg(F.array(*[F.struct(F.avg(x).alias("mean"), F.stddev_pop(x).alias("dev")) for x in filled.values()]).alias("s"))
-    held = df.withColumn("_stats", stats.scalar())
+    stats = F.array(*[F.struct(F.avg(x).alias("mean"), F.stddev_pop(x).alias("dev")) for x in filled.values()]).alias("_stats")
+    if scope is None:
+        held = df.withColumn("_stats", df.agg(stats).scalar())
+    else:
+        held = df.join(cut_lineage(df.groupBy(scope).agg(stats)), scope)  # a row a scope, so Spark knows whether it is small
 
     def scale(i: int, x: Column) -> Column:
         s = F.get("_stats", F.lit(i))

@@ -33,6 +33,11 @@ def popularity_fallback(active: DataFrame, pop: DataFrame, n: int) -> DataFrame:
     return best.withColumn("rank", F.row_number().over(W.orderBy(F.col("n").desc(), F.col("product_id"))))
 
 
+def fallback_by(active: DataFrame, pop: DataFrame, n: int, by: str) -> DataFrame:
+    """:func:`popularity_fallback` for every value of the column ``by`` of ``active``."""
+    return top_per_key(active_by_popularity(active, pop), [by], [F.col("n").desc(), F.col("product_id")], n)
+
+
 def ranked_active(active: DataFrame, pop: DataFrame) -> DataFrame:
     """Every active product with its 1-based popularity position."""
     df = active_by_popularity(active.select("product_id", "product_name"), pop)
@@ -62,11 +67,12 @@ def unseen_popular(customers: DataFrame, owned: DataFrame, ranked: DataFrame, k:
 
 
 def recommend_all(requests: DataFrame, customers: DataFrame, lists: DataFrame, active: DataFrame, fallback: DataFrame,
-                  n: int, trained: Column | bool = True) -> DataFrame:
+                  n: int, trained: Column | bool = True, by: str | None = None) -> DataFrame:
     """One ranked list of active products and a reason for every requested customer.
 
     ``lists`` holds (customer_id, product_id, rank) of the winning model, drawn from active products so that ``n``
-    entries are enough; ``fallback`` is the top ``n`` of :func:`popularity_fallback`.
+    entries are enough; ``fallback`` is the top ``n`` of :func:`popularity_fallback`, or of :func:`fallback_by` when ``by`` names
+    the column of ``requests`` whose value has a list of its own.
     """
     trained = trained if isinstance(trained, Column) else F.lit(trained)
     flagged = lists.join(
@@ -74,12 +80,15 @@ def recommend_all(requests: DataFrame, customers: DataFrame, lists: DataFrame, a
     own = flagged.groupBy("customer_id").agg(
         F.sort_array(F.collect_list(F.when(F.col("on"), F.struct("rank", "product_id")))).alias("own"))
     ordered = F.sort_array(F.collect_list(F.struct("rank", "product_id")))
-    pool = fallback.agg(F.transform(ordered, lambda s: s.product_id).alias("pool"))
+    pool = F.transform(ordered, lambda s: s.product_id).alias("pool")
+    if by is None:
+        asked = requests.select("customer_id").withColumn("pool", fallback.agg(pool).scalar())
+    else:
+        asked = requests.select("customer_id", by).join(cut_lineage(fallback.groupBy(by).agg(pool)), by, "left").withColumn("pool", F.coalesce("pool", F.array().cast("array<string>"))).drop(by)
     df = (
-        requests.select("customer_id")
+        asked
         .join(customers.select("customer_id", F.lit(True).alias("known")), "customer_id", "left")
         .join(own, "customer_id", "left")
-        .withColumn("pool", pool.scalar())
     )
     reason = (
         F.when(~trained, "model_not_trained").when(F.col("known").isNull(), "unknown_customer")

@@ -132,12 +132,52 @@ def trained_tenants(spark, sf, models):
 @query("train_all_tenants")
 def train_all_tenants(spark, sf):
     """Content against collaborative model per tenant; lists of the winner for all customers."""
-    return trained_tenants(spark, sf, ("content", "collaborative"))
+    return trained_tenants(spark, sf, ("content", "collaborative")).lists
 
 
 @query("run_pipeline_all_tenants")
 def run_pipeline_all_tenants(spark, sf):
     """Split, fit all four models, measure and refit the winner per tenant; its lists for all customers."""
-    return trained_tenants(spark, sf, MODELS)
-
-
+    return trained_tenants(spark, sf, MODELS).lists
+
+
+@query("tenant_trained_products", "shelf", "shoppers", "bought", sql=f"""
+    SELECT tenant_id, product_id FROM (SELECT DISTINCT tenant_id FROM shoppers) CROSS JOIN {q.ACTIVE_SHELF}
+    UNION SELECT DISTINCT tenant_id, product_id FROM bought JOIN shoppers USING (customer_id) WHERE product_id NOT IN (SELECT product_id FROM shelf)""")
+def tenant_trained_products(spark, sf):
+    """The products that each tenant's winner knows."""
+    return trained_tenants(spark, sf, ("content",)).trained
+
+
+# tenant-wise split, scaled content profiles, nearest products and their metrics, written out in SQL
+TENANT_CONTENT = f"""
+    own AS (SELECT DISTINCT tenant_id, tenant_id || chr(31) || customer_id AS customer_id, tenant_id || chr(31) || product_id AS product_id
+            FROM bought JOIN shoppers USING (customer_id)),
+    drawn AS (SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY md5('42|' || customer_id || '|' || product_id), product_id) AS r,
+              count(*) OVER (PARTITION BY customer_id) AS n FROM own),
+    flagged AS (SELECT *, r <= CASE WHEN n <= 1 THEN 1 ELSE least(2, n - 1) END AS test FROM drawn),
+    people AS (SELECT tenant_id || chr(31) || customer_id AS customer_id, tenant_id,
+        CASE WHEN d0 > 0 THEN (x0 - m0) / d0 ELSE x0 - m0 END AS f0, CASE WHEN d1 > 0 THEN (x1 - m1) / d1 ELSE x1 - m1 END AS f1,
+        {", ".join(f"CAST(coalesce(c_mktsegment = '{x}', FALSE) AS DOUBLE) AS f{i + 2}" for i, x in enumerate(SEGMENTS))}
+        FROM (SELECT *, coalesce(c_acctbal, 0) AS x0, coalesce(c_nationkey, 0) AS x1 FROM shoppers) JOIN (
+            SELECT tenant_id, avg(coalesce(c_acctbal, 0)) AS m0, stddev_pop(coalesce(c_acctbal, 0)) AS d0, avg(coalesce(c_nationkey, 0)) AS m1,
+                   stddev_pop(coalesce(c_nationkey, 0)) AS d1 FROM shoppers GROUP BY 1) USING (tenant_id)),
+    profiles AS (SELECT product_id, f.tenant_id, {", ".join(f"avg(f{i}) AS f{i}" for i in range(7))} FROM flagged f JOIN people p USING (customer_id) WHERE NOT test GROUP BY 1, 2),
+    offered AS (SELECT p.* FROM profiles p WHERE split_part(product_id, chr(31), 2) IN (SELECT product_id FROM {q.ACTIVE_SHELF})
+                OR split_part(product_id, chr(31), 2) NOT IN (SELECT product_id FROM shelf)),
+    near AS (SELECT customer_id, product_id, tenant_id, row_number() OVER (PARTITION BY customer_id ORDER BY round(score, 9) DESC, product_id) AS rank FROM (
+        SELECT a.customer_id, b.product_id, a.tenant_id, ({" + ".join(f"a.f{i} * b.f{i}" for i in range(7))})
+            / sqrt({" + ".join(f"a.f{i} * a.f{i}" for i in range(7))}) / sqrt({" + ".join(f"b.f{i} * b.f{i}" for i in range(7))}) AS score
+        FROM people a JOIN offered b ON a.tenant_id = b.tenant_id) QUALIFY rank <= 5),
+    held AS (SELECT tenant_id, customer_id, product_id, count(*) OVER (PARTITION BY customer_id) AS relevant FROM flagged WHERE test),
+    per AS (SELECT h.tenant_id, h.customer_id, any_value(relevant) AS relevant, count(rank) AS hits, coalesce(sum(1 / log2(rank + 1)), 0) AS dcg
+        FROM held h LEFT JOIN near USING (customer_id, product_id) GROUP BY 1, 2)"""
+
+
+@query("tenant_model_scores", "shoppers", "bought", "shelf", sql=f"""
+    WITH {TENANT_CONTENT.strip()}
+    SELECT tenant_id, 'content' AS model, count(*) AS customers, round(avg(hits / 5), 4) AS precision, round(avg(hits / relevant), 4) AS recall,
+        round(avg(dcg / CASE relevant WHEN 1 THEN 1 ELSE 1 + 1 / log2(3) END), 4) AS ndcg, 'completed' AS status, TRUE AS is_winner FROM per GROUP BY 1""")
+def tenant_model_scores(spark, sf):
+    """Split, content model, evaluation and winner of every tenant; the twin writes the whole run out in SQL."""
+    return trained_tenants(spark, sf, ("content",)).scores

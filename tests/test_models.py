@@ -4,6 +4,7 @@ import pytest
 from helpers import rows
 from shelfwise.config import Feature
 from shelfwise.operators import blocks, content, factors, ranking
+from shelfwise.plans import tenant_run
 
 
 def test_content_keeps_owned(make):
@@ -166,3 +167,62 @@ def test_pair_limit(spark):
     with pytest.raises(ValueError):
         ranking.all_pairs(spark.range(20).selectExpr("cast(id as string) customer_id"), spark.range(20).selectExpr("cast(id as string) product_id"),
                           spark.createDataFrame([], "customer_id string, product_id string"), limit=399)
+
+
+def test_boosted_trees():
+    from shelfwise.operators import boost
+
+    rng = np.random.default_rng(3)
+    x = np.column_stack([rng.normal(size=20_000), rng.integers(0, 3, 20_000), rng.normal(size=20_000)])
+    chance = 1 / (1 + np.exp(-(2 * (x[:, 0] > 0.3) * (x[:, 1] == 2) - 1 + 0.5 * (x[:, 2] > 0))))
+    y = (rng.random(len(x)) < chance).astype(float)
+    model = boost.fit_trees(x, y, 60, 3, 0.2)
+    terms = ranking.factored(boost.leaf_conditions(model, 2))
+    margin = sum(sum(w * ranking.holds(x[:, :2], c) for c, w in mine) * ranking.holds(x[:, 2:], other) for other, mine in terms)
+    assert np.abs(1 / (1 + np.exp(-margin)) - chance).mean() < 0.04
+    # leaves as products of conditions give what walking down the trees gives
+    walked = np.zeros(len(x))
+    for f, t, v in zip(model["feature"], model["limit"], model["value"]):
+        at = np.zeros(len(x), int)
+        for _ in range(3):
+            at = 2 * at + 1 + (x[np.arange(len(x)), f[at]] > t[at])
+        walked += v[at - 7]
+    assert np.allclose(margin, walked)
+    flat = boost.fit_trees(np.ones((5, 2)), np.array([0, 1, 0, 1, 0.0]), 2, 2, 0.1)
+    assert np.isinf(flat["limit"]).all()
+
+
+def tenants_data(make):
+    people = make("customer_id string, tenant_id string, tenure int, plan string", *[
+        (str(i), t, (7 * i) % 11, "ab"[i % 2] if t != "c" else None) for t in "abc" for i in range(30 if t != "c" else 4)])
+    goods = make("product_id string, product_name string, category string, status string, in_stock string, price double, brand string, created_at string, updated_at string",
+                 *[(str(j), f"n{j}", "xyz"[j % 3], "archived" if j == 8 else "active", "1", float(j), None, "", "") for j in range(9)])
+    facts = make("tenant_id string, customer_id string, product_id string", *[(t, str(i), str((i + j * j) % 9)) for t in "ab" for i in range(30) for j in range(3)],
+                 ("a", "3", "only here"), ("a", "unknown", "2"), ("a", "unknown", "3"), ("b", "1", None), ("b", " ", "2"), ("c", "1", "4"))
+    return people, goods, facts
+
+
+def test_run_of_all_tenants(make):
+    """Equal tenants get equal scores although ids clash, and every tenant has lists, a winner and its own products."""
+    people, goods, facts = tenants_data(make)
+    run = tenant_run.run_tenants(people, goods, facts, ["tenure"], ["plan"], [Feature("price")], n=3, k=3, trees=5)
+    scores = {(r.tenant_id, r.model): r for r in run.scores.collect()}
+    assert {t for t, _ in scores} == {"a", "b", "c"} and len(scores) == 12
+    assert all(sum(r.is_winner for (t, _), r in scores.items() if t == x) == 1 for x in "ab")
+    # tenant c has one customer with one row, which is held out: nothing to fit on, no winner and no lists
+    assert {r.status for (t, _), r in scores.items() if t == "c"} == {"failed"}
+    winners = {t: m for (t, m), r in scores.items() if r.is_winner}
+    lists = run.lists.collect()
+    assert {r.tenant_id for r in lists} == {"a", "b"} and all(r.model == winners[r.tenant_id] for r in lists)
+    assert len(lists) == 2 * 30 * 3 and all("\x1f" not in r.product_id + r.customer_id + r.product_name for r in lists)
+    assert {r.product_id for r in run.trained.where("tenant_id = 'b'").collect()} == {str(j) for j in range(8)}
+    assert {r.product_id for r in run.trained.where("tenant_id = 'a'").collect()} == {str(j) for j in range(8)} | {"only here"}
+
+
+def test_tenants_alone_and_together(make):
+    """A tenant's scores and lists do not depend on who else is in the run."""
+    people, goods, facts = tenants_data(make)
+    both = tenant_run.run_tenants(people, goods, facts, ["tenure"], ["plan"], [Feature("price")], n=3, k=3, trees=5)
+    alone = tenant_run.run_tenants(people.where("tenant_id = 'b'"), goods, facts.where("tenant_id = 'b'"), ["tenure"], ["plan"], [Feature("price")], n=3, k=3, trees=5)
+    for one, other in ((both.scores, alone.scores), (both.lists, alone.lists)):
+        assert rows(one.where("tenant_id = 'b'").na.fill("-")) == rows(other.na.fill("-"))
