@@ -197,7 +197,9 @@ def tenants_data(make):
         (str(i), t, (7 * i) % 11, "ab"[i % 2] if t != "c" else None) for t in "abc" for i in range(30 if t != "c" else 4)])
     goods = make("product_id string, product_name string, category string, status string, in_stock string, price double, brand string, created_at string, updated_at string",
                  *[(str(j), f"n{j}", "xyz"[j % 3], "archived" if j == 8 else "active", "1", float(j), None, "", "") for j in range(9)])
-    facts = make("tenant_id string, customer_id string, product_id string", *[(t, str(i), str((i + j * j) % 9)) for t in "ab" for i in range(30) for j in range(3)],
+    draw = np.random.default_rng(9)
+    bought = [(str(i), str(j)) for i in range(30) for j in draw.choice(9, 3, replace=False, p=np.arange(1, 10) / 45)]
+    facts = make("tenant_id string, customer_id string, product_id string", *[(t, *pair) for t in "ab" for pair in bought],
                  ("a", "3", "only here"), ("a", "unknown", "2"), ("a", "unknown", "3"), ("b", "1", None), ("b", " ", "2"), ("c", "1", "4"))
     return people, goods, facts
 
