@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from shelfwise.config import Feature
 from shelfwise.functions.ids import blank_to_null, clean_id, has_id, strip
 from shelfwise.functions.text import clean_price
-from shelfwise.operators.keyed import first_per_key
+from shelfwise.operators.keyed import first_per_key, lowest_hashes
 
 
 def column_violations(df: DataFrame, table: str, required: Sequence[str], numeric: Sequence[str]) -> DataFrame:
@@ -128,8 +128,7 @@ def in_year(df: DataFrame, col: str, year: int) -> DataFrame:
 
 def sample_rows(df: DataFrame, n: int, seed: int, key: Sequence[str]) -> DataFrame:
     """Exactly ``n`` rows chosen by a hash of seed and key, the same for every partitioning."""
-    mark = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in key]))
-    return df.withColumn("_mark", mark).orderBy("_mark", *key).limit(n).drop("_mark")
+    return lowest_hashes(df, [F.col(c).cast("string") for c in key], key, n, seed)
 
 
 def upload_rows(rows: DataFrame) -> DataFrame:

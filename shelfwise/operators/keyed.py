@@ -68,43 +68,39 @@ def trailing_count(df: DataFrame, keys: Sequence[str], ts: str, seconds: int, ou
     return lent.withColumn(out, F.count("*").over(w)).where("_own = 1").drop("_us", "_slot", "_own")
 
 
-def kth_smallest(df: DataFrame, col: str, ks: Sequence[int], bins: int = 4096) -> list[float]:
-    """Exact order statistics (0-based) of a numeric column by repeated histograms.
+def lowest_hashes(df: DataFrame, key: Sequence[Column], tie: Sequence[str], n: int, seed: int) -> DataFrame:
+    """The ``n`` rows of ``df`` with the smallest md5 of seed and ``key`` (``tie`` orders equal ones), the same for every partitioning.
 
-    Each pass is one partial aggregation to at most ``bins`` rows; the value range around every wanted
-    rank shrinks by that factor until one distinct value is left.
+    The rows are counted and a limit on the hash lets through few more than ``n`` of them before any are sorted, so the sort does not
+    get ``n`` rows of every task.  ``df`` is read three times.
     """
-    values = df.select(F.col(col).cast("double").alias("v")).where("v is not null and not isnan(v)")
-    found = []
-    for k in ks:
-        part, skip = values, 0
-        while True:
-            lo, hi = part.agg(F.min("v"), F.max("v")).first()
-            if lo == hi:
-                found.append(lo)
-                break
-            width = (hi - lo) / bins
-            bin_no = F.least(F.floor((F.col("v") - lo) / width), F.lit(bins - 1)) if width > 0 else F.lit(0)
-            rows = part.groupBy(bin_no.alias("b")).agg(F.count("*").alias("n"), F.min("v").alias("a"), F.max("v").alias("z"))
-            for r in sorted(rows.collect()):
-                if skip + r.n > k:
-                    part = part.where((F.col("v") >= r.a) & (F.col("v") <= r.z))
-                    break
-                skip += r.n
-            if r.a == r.z:
-                found.append(r.a)
-                break
-            if r.a == lo and r.z == hi:  # neighbouring doubles: the bin cannot be split further
-                below = part.where(F.col("v") == lo).count()
-                found.append(lo if k < skip + below else hi)
-                break
-    return found
-
-
-def exact_median(df: DataFrame, col: str) -> float | None:
-    n = df.where(F.col(col).cast("double").isNotNull() & ~F.isnan(F.col(col).cast("double"))).count()
+    total = df.count()
+    mark = F.md5(F.concat_ws("|", F.lit(str(seed)), *key))
+    marked = df.withColumn("_mark", mark)
+    wanted = n + 8 * int(n ** 0.5) + 64
+    while wanted < total:
+        # 13 hex digits of the hash, a fraction of all of which lies below the limit
+        below = marked.where(F.substring("_mark", 1, 13) < f"{int(2 ** 52 * (wanted / total)):013x}")
+        if below.limit(n).count() >= n:
+            marked = below
+            break
+        wanted *= 2
+    return marked.orderBy("_mark", *tie).limit(n).drop("_mark")
+
+
+def exact_median(df: DataFrame, col: str, accuracy: int = 20_000) -> float | None:
+    """Median of the numbers in ``col`` (nulls and NaN left out), in two scans.
+
+    A quantile sketch brackets both middle ranks; the second scan counts what lies below the bracket and every value inside it, at
+    most some 6 / ``accuracy`` of the rows.
+    """
+    value = F.col(col).cast("double")
+    values = df.select(value.alias("v")).where(value.isNotNull() & ~F.isnan(value))
+    off = 2 / accuracy
+    n, cuts = values.agg(F.count("*"), F.percentile_approx("v", [0.5 - off, 0.5 + off], accuracy)).first()
     if n == 0:
         return None
-    a, b = (n - 1) // 2, n // 2
-    vals = kth_smallest(df, col, [a] if a == b else [a, b])
-    return sum(vals) / len(vals)
+    near = values.where(F.col("v") <= cuts[1]).groupBy(F.when(F.col("v") >= cuts[0], F.col("v")).alias("v")).agg(F.count("*").alias("n"))
+    upto = cut_lineage(near).withColumn("upto", F.sum("n").over(W.orderBy(F.col("v").asc_nulls_first()).rowsBetween(W.unboundedPreceding, 0)))
+    first, second = (F.min(F.when(F.col("upto") > k, F.col("v"))) for k in ((n - 1) // 2, n // 2))
+    return float(sum(upto.where("v IS NOT NULL").agg(first, second).first()) / 2)

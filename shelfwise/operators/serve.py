@@ -75,31 +75,34 @@ def recommend_all(requests: DataFrame, customers: DataFrame, lists: DataFrame, a
     the column of ``requests`` whose value has a list of its own.
     """
     trained = trained if isinstance(trained, Column) else F.lit(trained)
-    flagged = lists.join(
-        active.select("product_id", F.lit(True).alias("on")), "product_id", "left")
-    own = flagged.groupBy("customer_id").agg(
-        F.sort_array(F.collect_list(F.when(F.col("on"), F.struct("rank", "product_id")))).alias("own"))
-    ordered = F.sort_array(F.collect_list(F.struct("rank", "product_id")))
-    pool = F.transform(ordered, lambda s: s.product_id).alias("pool")
+    # details travel with the lists, so no join meets the few fallback products once per customer
+    shown = F.struct("product_id", "product_name", "category", "price")
+    info = active.select("product_id", "product_name", "category", "price")
+    own = lists.join(info, "product_id").groupBy("customer_id").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("rank", "product_id", shown.alias("shown")))), lambda s: s["shown"]).alias("own"))
+    listed = lists.select("customer_id").distinct().withColumn("listed", F.lit(True))
+    ordered = F.array_sort(F.collect_list(F.struct("rank", "product_id", shown.alias("shown"))))
+    pool = F.transform(ordered, lambda s: s["shown"]).alias("pool")
+    keys = [by] if by else []
+    offered = fallback.select(*keys, "rank", "product_id").join(info, "product_id")
     if by is None:
-        asked = requests.select("customer_id").withColumn("pool", fallback.agg(pool).scalar())
+        asked = requests.select("customer_id").withColumn("pool", offered.agg(pool).scalar())
     else:
-        asked = requests.select("customer_id", by).join(cut_lineage(fallback.groupBy(by).agg(pool)), by, "left").withColumn("pool", F.coalesce("pool", F.array().cast("array<string>"))).drop(by)
+        asked = requests.select("customer_id", by).join(cut_lineage(offered.groupBy(by).agg(pool)), by, "left").drop(by)
     df = (
         asked
         .join(customers.select("customer_id", F.lit(True).alias("known")), "customer_id", "left")
-        .join(own, "customer_id", "left")
+        .join(own, "customer_id", "left").join(listed, "customer_id", "left")
     )
     reason = (
         F.when(~trained, "model_not_trained").when(F.col("known").isNull(), "unknown_customer")
-        .when(F.col("own").isNull(), "no_history")
+        .when(F.col("listed").isNull(), "no_history")
     )
-    mine = F.when(reason.isNull(), F.transform("own", lambda s: s.product_id)).otherwise(F.array().cast("array<string>"))
-    df = df.select("customer_id", reason.alias("reason"), F.slice(F.array_distinct(F.concat(mine, "pool")), 1, n).alias("ids"))
-    rows = df.select("customer_id", "reason", F.posexplode("ids").alias("pos", "product_id"))
-    info = active.select("product_id", "product_name", "category", "price")
-    return rows.join(info, "product_id", "left").select(
-        "customer_id", (F.col("pos") + 1).alias("rank"), "product_id", "product_name", "category", "price", "reason")
+    mine = F.when(reason.isNull(), F.col("own"))
+    parts = F.flatten(F.filter(F.array(mine, F.col("pool")), lambda x: x.isNotNull()))
+    df = df.select("customer_id", reason.alias("reason"), F.slice(F.array_distinct(parts), 1, n).alias("shown"))
+    rows = df.select("customer_id", "reason", F.posexplode("shown").alias("pos", "p"))
+    return rows.select("customer_id", (F.col("pos") + 1).alias("rank"), "p.product_id", "p.product_name", "p.category", "p.price", "reason")
 
 
 def drop_owned(pairs: DataFrame, owned: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from shelfwise.operators import cleaning, ingest, keyed
 from shelfwise.plans import sqltext as q
 from shelfwise.plans.registry import query
 from shelfwise.plans.roles import inputs, one
+from shelfwise.session import durable_path
 from shelfwise.sources import raw
 
 SEGMENTS = ("BUILDING", "AUTOMOBILE", "MACHINERY", "HOUSEHOLD", "FURNITURE")
@@ -25,8 +26,15 @@ GENRES = ("ECONOMY", "SMALL", "MEDIUM", "PROMO", "STANDARD", "LARGE")
     SELECT customerID AS "customerID", try_cast(nullif(trim(balance), '') AS DOUBLE) AS balance, segment, count(*) AS n
     FROM raw_customers GROUP BY ALL""")
 def scan_raw_table(spark, sf):
+    """The untidy export as it arrives, half of it as CSV and half as JSON lines, read back by the raw readers."""
     df = one(spark, sf, "raw_customers").withColumnsRenamed({"customerID": " customerID ", "balance": "balance  "})
-    return raw.tidy_raw(df, ["balance"]).groupBy("customerID", "balance", "segment").agg(F.count("*").alias("n"))
+    csv, lines = durable_path(spark, "raw-csv"), durable_path(spark, "raw-json")
+    keep = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    df.where("seq % 2 = 0").drop("seq").write.options(header=True, **keep).csv(csv)
+    df.where("seq % 2 = 1").drop("seq").write.json(lines)
+    parts = [raw.read_raw(spark, path, kind, numeric=["balance"]) for kind, path in (("csv", csv), ("json", lines))]
+    found = parts[0].unionByName(parts[1], allowMissingColumns=True)
+    return found.groupBy("customerID", "balance", "segment").agg(F.count("*").alias("n"))
 
 
 @query("scan_header_aliases", "till", sql="""

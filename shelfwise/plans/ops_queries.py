@@ -6,7 +6,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from shelfwise.operators import identity, limiter, ops, profile, telemetry as tel
+from shelfwise.operators import identity, keyed, limiter, ops, profile, telemetry as tel
 from shelfwise.plans import sqltext as q
 from shelfwise.plans.core_queries import COUNTS, EFFECTIVE, MAPPING, active, tenant_counts_frame
 from shelfwise.plans.registry import query
@@ -260,10 +260,41 @@ def stalled_jobs(spark, sf):
     return one(spark, sf, "jobs").select("job_id", ops.effective_status(F.col("status"), F.col("updated_at"), now).alias("status"))
 
 
-@query("rate_limit_sliding")
+# the scope of a tracking request, and limits of some tenants and scopes; the others have the default of their scope
+SCOPE = "CASE event_type WHEN 'view' THEN 'recommendations' WHEN 'click' THEN 'catalog' WHEN 'purchase' THEN 'onboarding' ELSE 'tracking' END"
+OWN_LIMITS = [("t0", "recommendations", 3), ("t0", None, 6), ("t1", None, 4), ("t2", "tracking", 0), ("t2", "catalog", 9)]
+LIMITED = f"""(SELECT c.*, coalesce(o.n, a.n, CASE scope {" ".join(f"WHEN '{k}' THEN {v}" for k, v in limiter.LIMITS.items())} ELSE {limiter.OTHER_LIMIT} END) AS lim
+    FROM (SELECT *, {SCOPE} AS scope FROM clicks) c
+    LEFT JOIN (VALUES {", ".join(f"('{t}', '{x}', {n})" for t, x, n in OWN_LIMITS if x)}) o(t, x, n) ON tenant_id = o.t AND scope = o.x
+    LEFT JOIN (VALUES {", ".join(f"('{t}', {n})" for t, x, n in OWN_LIMITS if not x)}) a(t, n) ON tenant_id = a.t)"""
+
+
+def limited(spark, sf):
+    own = spark.createDataFrame(OWN_LIMITS, "tenant_id string, scope string, limit_per_minute int")
+    return limiter.with_limits(one(spark, sf, "clicks").withColumn("scope", F.expr(SCOPE)), own)
+
+
+@query("rate_limit_sliding", "clicks", sql=f"""
+    WITH RECURSIVE asked AS (SELECT event_id, tenant_id, scope, lim, epoch_us(ts) AS us, row_number() OVER (PARTITION BY tenant_id, scope ORDER BY ts, event_id) AS i FROM {LIMITED}),
+    fold AS (SELECT DISTINCT tenant_id, scope, 0::BIGINT AS i, NULL::BIGINT AS event_id, []::BIGINT[] AS times, FALSE AS allowed, 0::BIGINT AS remaining, 0::BIGINT AS retry_after FROM asked
+        UNION ALL
+        SELECT tenant_id, scope, i, event_id, CASE WHEN len(kept) < lim THEN list_append(kept, us) ELSE kept END, len(kept) < lim,
+            CASE WHEN len(kept) < lim THEN lim - len(kept) - 1 ELSE 0 END,
+            CASE WHEN len(kept) < lim THEN 0 WHEN len(kept) = 0 THEN 21600 ELSE greatest(1, CAST(ceil((kept[1] + 21600000000 - us) / 1000000) AS BIGINT)) END
+        FROM (SELECT r.*, list_filter(f.times, lambda x: x > r.us - 21600000000) AS kept FROM fold f JOIN asked r ON r.tenant_id = f.tenant_id AND r.scope = f.scope AND r.i = f.i + 1))
+    SELECT tenant_id, scope, event_id, allowed, CAST(remaining AS INTEGER) AS remaining, CAST(retry_after AS INTEGER) AS retry_after FROM fold WHERE i > 0""")
 def rate_limit_sliding(spark, sf):
-    """Twelve requests per six hours and tenant; the test events are sparse."""
-    return limiter.limit_requests(one(spark, sf, "clicks"), ["tenant_id"], "ts", "event_id", 12, 6 * 3600)
+    """Every request under the limit of its tenant and scope; the window is six hours, as the test events are sparse."""
+    return limiter.limit_requests(limited(spark, sf), ["tenant_id", "scope"], "ts", "event_id", F.col("limit_per_minute"), 6 * 3600)
+
+
+@query("request_rate_limits", "clicks", sql=f"""
+    SELECT event_id, tenant_id, scope, lim AS limit_per_minute, in_window, in_window > lim AS over_limit FROM (
+        SELECT *, count(*) OVER (PARTITION BY tenant_id, scope ORDER BY ts RANGE BETWEEN INTERVAL 21599999999 MICROSECONDS PRECEDING AND CURRENT ROW) AS in_window FROM {LIMITED})""")
+def request_rate_limits(spark, sf):
+    """Requests of the trailing window next to the limit of their tenant and scope."""
+    seen = keyed.trailing_count(limited(spark, sf), ["tenant_id", "scope"], "ts", 6 * 3600, "in_window")
+    return seen.select("event_id", "tenant_id", "scope", "limit_per_minute", "in_window", (F.col("in_window") > F.col("limit_per_minute")).alias("over_limit"))
 
 
 @query("custom_adapter", "shoppers", "bought", "part", sql="""

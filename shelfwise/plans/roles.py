@@ -204,6 +204,7 @@ def twin(body: str, *roles: str) -> str:
     body = body.strip()
     if not ctes:
         return body
-    if body[:5].upper() == "WITH ":
-        return "WITH " + ",\n".join(ctes) + ",\n" + body[5:]
+    for head in ("WITH RECURSIVE ", "WITH "):
+        if body[:len(head)].upper() == head:
+            return head + ",\n".join(ctes) + ",\n" + body[len(head):]
     return "WITH " + ",\n".join(ctes) + "\n" + body
