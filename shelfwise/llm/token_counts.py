@@ -232,29 +232,35 @@ def _apply(schema: pa.Schema, path: str, pattern: str, with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = Tokenizer(path, pattern)
         out = Out(schema)
-        tree, row, edits = None, None, 0
+        tree, row, edits, copies, last = None, None, 0, 0, None
 
-        def done() -> bool:
+        def done() -> Iterator[pa.RecordBatch]:
             tree.settle(tokenizer)
             chars, pretokens, tokens = (x[1] for x in tree.sums)
             state = ()
             if with_text:
                 leaves = np.array([x[tree.size:] for x in tree.sums], "<i4").T
                 state = (tree.text, leaves[leaves[:, 0] > 0].tobytes())
-            return out.add(row[0], *state, pretokens, tokens, row[1], row[2], edits, tree.encoded, chars, size=chars if with_text else 0)
+            for _ in range(copies):
+                if out.add(row[0], *state, pretokens, tokens, row[1], row[2], edits, tree.encoded, chars, size=chars if with_text else 0):
+                    yield out.take()
 
-        for doc_id, text, leaves, pretokens, tokens, start, length, replacement in rows(
-                batches, "doc_id", "text", "leaves", "pretokens", "tokens", "start", "length", "replacement"):
+        for doc_id, h, text, leaves, pretokens, tokens, *change in rows(
+                batches, "doc_id", "text_hash", "text", "leaves", "pretokens", "tokens", "edit_no", "start", "length", "replacement"):
             if leaves is not None:
-                if tree is not None and done():
-                    yield out.take()
+                if tree is not None and (doc_id, h, text) == (row[0], row[3], row[4]):
+                    copies += 1  # the same row again, before its edits
+                    continue
+                if tree is not None:
+                    yield from done()
                 tree = Tree(text, np.frombuffer(leaves, "<i4").reshape(-1, 3))
-                row, edits = (doc_id, pretokens, tokens), 0
-            elif tree is not None and doc_id is not None and doc_id == row[0]:
+                row, edits, copies, last = (doc_id, pretokens, tokens, h, text), 0, 1, None
+            elif tree is not None and doc_id is not None and doc_id == row[0] and h in (None, row[3]) and (h is None or change != last):
+                _, start, length, replacement = change
                 tree.edit(start or 0, length or 0, replacement or "")
-                edits += 1
+                edits, last = edits + 1, change
         if tree is not None:
-            done()
+            yield from done()
         yield out.take()
     return run
 
@@ -263,24 +269,29 @@ def apply_edits(trees: DataFrame, edits: DataFrame, ranks: str, pattern: str, wi
     """The state after ``edits`` (doc_id, edit_no, start, length, replacement), with ``tokens_before``, ``edits`` and ``encoded_pretokens``.
 
     Edits of a document apply in the order of ``edit_no``; ``start`` and ``length`` are characters of the text as the edits before have left it,
-    beyond its end they are cut, null counts as 0 or as the empty text.  Edits of unknown or null ids change nothing.  When an id is repeated,
-    its edits apply to the last of its rows (by text).  An id's edits stream past its tree, so any number of them needs no more memory.
+    beyond its end they are cut, null counts as 0 or as the empty text.  Edits of unknown or null ids change nothing.  Edits may
+    name the text they were made for (``text_hash``, Spark's xxhash64 of it, as :func:`redactions` does): where an id is repeated with
+    different texts each row gets its own, a row that is repeated gets them once each time, and so do rows that share a text.  Edits
+    of a table without that column apply to the rows of the id that come last by hash of the text.  An id's edits stream past its tree, so any number of them needs no more memory.
     """
     id_type = _id_type(trees, "doc_id")
     none = {"text": "string", "leaves": "binary", "pretokens": "long", "tokens": "long"}
-    e = edits.select(F.col("doc_id").cast(trees.schema["doc_id"].dataType), *[F.lit(None).cast(t).alias(c) for c, t in none.items()],
+    h = F.col("text_hash").cast("long") if "text_hash" in edits.columns else F.lit(None).cast("long").alias("text_hash")
+    e = edits.select(F.col("doc_id").cast(trees.schema["doc_id"].dataType), h, *[F.lit(None).cast(t).alias(c) for c, t in none.items()],
                      F.col("edit_no").cast("long"), F.col("start").cast("long"), F.col("length").cast("long"), F.col("replacement").cast("string"))
-    t = trees.select("doc_id", *none, *[F.lit(None).cast("long").alias(c) for c in ("edit_no", "start", "length")], F.lit(None).cast("string").alias("replacement"))
-    # rows without an id can have no edits; they are dealt by their text
-    key = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id"))
-    both = t.unionByName(e).repartition(key).sortWithinPartitions("doc_id", F.col("leaves").isNull(), "text", "edit_no", "start", "length", "replacement")
+    t = trees.select("doc_id", F.xxhash64("text").alias("text_hash"), *none, *[F.lit(None).cast("long").alias(c) for c in ("edit_no", "start", "length")], F.lit(None).cast("string").alias("replacement"))
+    # rows without an id can have no edits; they are dealt by their text, as are the rows of an id when all edits name theirs
+    own = ["doc_id", "text_hash"] if "text_hash" in edits.columns else ["doc_id"]
+    key = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64(*own))
+    both = t.unionByName(e).repartition(key).sortWithinPartitions(
+        "doc_id", F.col("text_hash").asc_nulls_last(), F.col("leaves").isNull(), "text", "edit_no", "start", "length", "replacement")
     state = [("text", pa.string()), ("leaves", pa.binary())] if with_text else []
     schema = pa.schema([("doc_id", id_type), *state, ("pretokens", pa.int64()), ("tokens", pa.int64()), ("pretokens_before", pa.int64()),
                         ("tokens_before", pa.int64()), ("edits", pa.int64()), ("encoded_pretokens", pa.int64()), ("chars", pa.int64())])
     return both.mapInArrow(_apply(schema, ranks, pattern, with_text), spark_schema(schema))
 
 
-EDITS = [("edit_no", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("replacement", pa.string())]
+EDITS = [("edit_no", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("replacement", pa.string()), ("text_hash", pa.int64())]
 
 
 def _redact(schema: pa.Schema, rules: list[tuple[str, str, str]]):
@@ -299,14 +310,22 @@ def _redact(schema: pa.Schema, rules: list[tuple[str, str, str]]):
                     upto = end
             # from the end to the start, so that no edit moves the next
             for n, (start, length, new) in enumerate(reversed(places)):
-                if out.add(doc_id, n, start, length, new):
+                if out.add(doc_id, n, start, length, new, text_hash(text)):
                     yield out.take()
         yield out.take()
     return run
 
 
+def text_hash(text: str) -> int:
+    """Spark's xxhash64 of a string."""
+    import xxhash
+
+    h = xxhash.xxh64_intdigest(text.encode("utf-8", "replace"), seed=42)
+    return h - (1 << 64) if h >> 63 else h
+
+
 def redactions(docs: DataFrame, rules: list[tuple[str, str, str]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Edits (doc_id, edit_no, start, length, replacement) that put a rule's replacement in place of every match of its pattern.
+    """Edits (doc_id, edit_no, start, length, replacement, text_hash) that put a rule's replacement in place of every match of its pattern.
 
     A rule is (pattern, text that every match has, replacement).  Of matches that overlap, the first stays.
     """

@@ -61,6 +61,18 @@ def test_frames(docs, spark, tokenizer):
     assert tc.apply_edits(trees.limit(0), edits, RANKS, PATTERN).collect() == []
 
 
+def test_repeated_rows_and_ids(docs, tokenizer):
+    """One id with two texts, one of them twice: every row gets the edits of its own text, once."""
+    one, two = "write me@x.org and you@y.org, call 555 123 4567 now", "555 123 4567 is my number"
+    table = docs((1, one), (1, one), (1, two), (2, one), (None, one), (None, one), (3, None), (3, None))
+    got = sorted((r.doc_id or 0, r.tokens, r.text) for r in tc.apply_edits(
+        tc.build_trees(table, RANKS, PATTERN), tc.redactions(table, queries.REDACTIONS), RANKS, PATTERN).collect())
+    count = lambda t: len(tokenizer.encoding.encode_ordinary(t))
+    clean = "write [mail] and [mail], call [number] now"
+    want = [(1, clean), (1, clean), (1, "[number] is my number"), (2, clean), (0, one), (0, one), (3, ""), (3, "")]
+    assert got == sorted((d, count(t), t) for d, t in want)
+
+
 def test_query(spark, sf, tokenizer):
     rules = queries.REDACTIONS
     pattern = regex.compile("|".join(f"({p})" for p, _, _ in rules))
