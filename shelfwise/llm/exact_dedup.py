@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from shelfwise.llm.common import batch, spark_schema
+from shelfwise.llm.common import batch, spark_schema, unused
 from shelfwise.session import cut_lineage
 
 SPARE_BITS = 12  # one unique text in 2**12 is a suspect by chance
@@ -145,11 +145,11 @@ def mark_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the copies, columns unchanged; of a repeated row one stays."""
-    sha, hit = "__text_sha256", "__in_group"
-    groups = copy_groups(docs, id_col, text_col).select(F.col("text_sha256").alias(sha), F.col("keep_id").alias("__keep_id"), F.lit(True).alias(hit))
+    """``docs`` without the copies, columns unchanged, whatever their names; of a repeated row one stays."""
+    sha, hit, kept = unused(docs, "text_sha256", "in_group", "keep_id")
+    groups = copy_groups(docs, id_col, text_col).select(F.col("text_sha256").alias(sha), F.col("keep_id").alias(kept), F.lit(True).alias(hit))
     known = docs.withColumn(sha, F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)).join(groups, sha, "left")
     single = known.where(F.col(hit).isNull()).select(docs.columns)
     # one row of each group, chosen by id; equal rows of one id are told apart by nothing that matters
-    best = known.where(F.col(hit) & F.col(id_col).eqNullSafe(F.col("__keep_id")))
+    best = known.where(F.col(hit) & F.col(id_col).eqNullSafe(F.col(kept)))
     return single.unionByName(best.dropDuplicates([sha]).select(docs.columns))

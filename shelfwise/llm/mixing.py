@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from shelfwise.llm.common import WORD, Out, batch, mix, rows, spark_schema
+from shelfwise.llm.common import Out, WORD, batch, mix, raw_strings, rows, spark_schema, unused
 from shelfwise.session import cut_lineage
 
 BLOCK_WORDS = 256
@@ -221,44 +221,50 @@ def mix_sources(docs: DataFrame, weights: list[float] = (5.0, 2.0, 1.0), most: f
 
 
 def _slice(schema: pa.Schema, index: int, text_index: int):
-    """Cut the words [start, start + words) of a text, with the blanks between them."""
+    """Cut the words [start, start + words) of a text, with the blanks between them; the last three columns are start, words and all words."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import re
 
-        word = re.compile(WORD)
-        out = Out(schema)
-        for *row, start, words, whole in rows(batches, *schema.names, "__start", "__words", "__size"):
-            text = row[text_index] or ""
-            if words < whole:
-                spans = [m.span() for m in word.finditer(text)]
-                text = text[spans[start][0]:spans[start + words - 1][1]]
-                row[text_index] = text
-                if index >= 0:
-                    row[index] = len(text)
-            if out.add(*row, size=len(text)):
-                yield out.take()
-        yield out.take()
+        word = re.compile(WORD.encode())
+        for whole in batches:
+            for a in range(0, whole.num_rows, 256):
+                part = whole.slice(a, 256)
+                columns = part.columns[:len(schema)]
+                texts = columns[text_index].cast(pa.binary()).to_pylist()
+                lengths = columns[index].to_pylist() if index >= 0 else None
+                for i, (start, words, size) in enumerate(zip(*(c.to_pylist() for c in part.columns[len(schema):]))):
+                    if words < size:
+                        spans = [m.span() for m in word.finditer(texts[i])]
+                        texts[i] = texts[i][spans[start][0]:spans[start + words - 1][1]]
+                        if lengths:
+                            lengths[i] = len(texts[i].decode("utf-8", "replace"))
+                columns[text_index] = raw_strings(texts)
+                if lengths:
+                    columns[index] = pa.array(lengths, schema.field(index).type)
+                yield pa.RecordBatch.from_arrays(columns, schema=schema)
     return run
 
 
 def mixed_documents(docs: DataFrame, mix: Mix, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
     """The mix as rows with the columns of ``docs``: a document once per epoch that takes all of it, and each run of words that an epoch takes of it.
 
-    ``length_col``, where there is one, becomes the length of a cut text.  Empty documents are not taken.
+    ``length_col``, where there is one, becomes the length of a cut text.  Empty documents are not taken.  Other columns may have
+    any names; bytes that are no valid UTF-8 are parts of words and stay as they are.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
     # runs of adjoining pieces within an epoch
+    of_id, h, begin, words, size = unused(docs, "of_id", "h", "start", "words", "size")
     one = ["source_no", "first"]  # a document with words
     pieces = mix.pieces().select(*one, "epoch", "start", "words")
     by = Window.partitionBy(*one, "epoch").orderBy("start")
     joined = pieces.withColumn("new", (F.col("start") != F.coalesce(F.lag(F.col("start") + F.col("words")).over(by), F.lit(-1))).cast("int")).withColumn(
-        "run", F.sum("new").over(by)).groupBy(*one, "epoch", "run").agg(F.min("start").alias("__start"), F.sum("words").alias("__words"))
-    runs = joined.join(mix.placed.where("size > 0").select(*one, "doc_id", "h", F.col("size").alias("__size")), one).select(
-        F.col("doc_id").alias("__id"), F.col("h").alias("__h"), "__start", "__words", "__size")
+        "run", F.sum("new").over(by)).groupBy(*one, "epoch", "run").agg(F.min("start").alias("start"), F.sum("words").alias("words"))
+    runs = joined.join(mix.placed.where("size > 0").select(*one, "doc_id", "h", "size"), one).select(
+        F.col("doc_id").alias(of_id), F.col("h").alias(h), F.col("start").alias(begin), F.col("words").alias(words), F.col("size").alias(size))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = docs.withColumn("__h", F.xxhash64(text)).dropDuplicates([id_col, "__h"])  # equal rows of one id have their runs under one key
-    full = keyed.join(runs, F.col(id_col).eqNullSafe(F.col("__id")) & (keyed["__h"] == runs["__h"]))
+    keyed = docs.withColumn(h, F.xxhash64(text)).dropDuplicates([id_col, h])  # equal rows of one id have their runs under one key
+    full = keyed.join(runs, F.col(id_col).eqNullSafe(F.col(of_id)) & (keyed[h] == runs[h]))
     schema = pa.schema([f.with_nullable(True) for f in to_arrow_schema(docs.schema)])
     index = docs.columns.index(length_col) if length_col in docs.columns else -1
-    return full.select(*docs.columns, "__start", "__words", "__size").mapInArrow(_slice(schema, index, docs.columns.index(text_col)), docs.schema)
+    return full.select(*docs.columns, begin, words, size).mapInArrow(_slice(schema, index, docs.columns.index(text_col)), docs.schema)

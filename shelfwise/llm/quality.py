@@ -214,7 +214,10 @@ def score(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text_col:
 
 
 def keep_scored(docs: DataFrame, model: Classifier, least: float, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that score ``least`` or more, all columns unchanged; rows are judged where they lie."""
+    """The rows of ``docs`` that score ``least`` or more, all columns unchanged; rows are judged where they lie.
+
+    Columns may have any names; a text that is no valid UTF-8 is scored with its bad bytes replaced and kept as it is.
+    """
     from pyspark.sql.pandas.types import to_arrow_schema
 
     schema = pa.schema([f.with_nullable(True) for f in to_arrow_schema(docs.schema)])
@@ -225,7 +228,7 @@ def keep_scored(docs: DataFrame, model: Classifier, least: float, text_col: str
         for whole in batches:
             for a in range(0, whole.num_rows, 1024):
                 b = whole.slice(a, 1024)
-                text = [(t or "").encode() for t in b.column(position).to_pylist()]
+                text = [t or b"" for t in b.column(position).cast(pa.binary()).to_pylist()]
                 numbered = pa.RecordBatch.from_arrays([pa.array(range(b.num_rows), pa.int64()), pa.array(text, pa.binary())], names=["doc_id", "text"])
                 good = [n for part in inner(iter([numbered])) for n, s in zip(part.column(0).to_pylist(), part.column(1).to_pylist()) if s >= least]
                 if good:
