@@ -30,6 +30,25 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _S31)
 
 
+def unused(docs: DataFrame, *names: str) -> list[str]:
+    """Column names like ``names`` that ``docs`` does not have, in whatever case."""
+    taken = {c.lower() for c in docs.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def raw_strings(values: list[bytes | None]) -> pa.Array:
+    """Bytes as an array of strings, invalid UTF-8 included."""
+    held = pa.array(values, pa.binary())
+    valid, ends, data = held.buffers()
+    return pa.StringArray.from_buffers(len(held), ends, data, valid)
+
+
 def text_bytes(column: str = "text") -> Column:
     """The text as UTF-8; null counts as empty.  Binary, so invalid UTF-8 reaches Python unharmed."""
     return F.coalesce(F.col(column), F.lit("")).cast("binary")
@@ -131,7 +150,7 @@ def likely(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
 
 
 HOT_SHARE = 200  # a key is hot from 1 / HOT_SHARE of the rows on, so there are fewer than HOT_SHARE hot keys
-HOT_ROWS = 1000  # with fewer rows no key is hot
+HOT_ROWS = 1 << 20  # one task takes so many narrow rows, so no key of a smaller table is hot
 
 
 def join_hot(left: DataFrame, right: DataFrame, on: str, how: str = "inner") -> DataFrame:
@@ -141,7 +160,9 @@ def join_hot(left: DataFrame, right: DataFrame, on: str, how: str = "inner") ->
     broadcast; those are fewer than HOT_SHARE keys.  ``left`` is read three times: hand in a written table.
     """
     total = left.count()
-    hot = cut_lineage(left.groupBy(on).count().where(F.col("count") * HOT_SHARE > max(total, HOT_ROWS * HOT_SHARE)).select(on).where(F.col(on).isNotNull()))
+    if total <= HOT_ROWS:
+        return left.join(right, on, how)
+    hot = cut_lineage(left.groupBy(on).count().where(F.col("count") * HOT_SHARE > total).select(on).where(F.col(on).isNotNull()))
     if hot.isEmpty():
         return left.join(right, on, how)
     few = right.join(F.broadcast(hot), on, "left_semi")

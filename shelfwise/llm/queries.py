@@ -144,7 +144,8 @@ def op11_fill_in_middle(spark, sf_dir):
 
 @query("op12_spelling_variants")
 def op12_spelling_variants(spark, sf_dir):
-    return spelling.spelling_variants(spelling.vocabulary(spelling.observed(table(spark, sf_dir, "documents"))))
+    words = spelling.observed(table(spark, sf_dir, "documents"), least_length=5)  # slips only shorten
+    return spelling.spelling_variants(spelling.vocabulary(words, least_length=5, least_count=3))
 
 
 @query("op13_warc", """

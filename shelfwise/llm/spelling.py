@@ -22,18 +22,18 @@ from pyspark.sql import Column, DataFrame, functions as F
 from shelfwise.llm.common import Out, join_hot, rows, spark_schema
 from shelfwise.session import cut_lineage
 
-RUNS = r"[A-Za-zÀ-ÿ]+"
+RUNS = r"[A-Za-zÀ-ÿ]{%d,}"  # whole runs: a match begins where a run does, and a run that is too short has none
 PREFIXES = pa.schema([("word", pa.string()), ("depth", pa.int32()), ("node", pa.int64()), ("next", pa.string())])
 
 
-def observed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus: int = 97) -> DataFrame:
-    """(word): every occurrence of a run of letters, A to Z in lower case, with the planted slips.
+def observed(docs: DataFrame, least_length: int = 1, id_col: str = "doc_id", text_col: str = "text", modulus: int = 97) -> DataFrame:
+    """(word): every occurrence of a run of at least ``least_length`` letters, A to Z in lower case, with the planted slips.
 
     Where ``modulus`` divides h, the unsigned crc32 of the UTF-8 of ``<id>:<run>``, the run loses its code point h % length.
     A null text has no words, a null id counts as an empty one.
     """
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-    runs = F.regexp_extract_all(F.col(text_col).cast("string"), F.lit(RUNS), F.lit(0))
+    runs = F.regexp_extract_all(F.col(text_col).cast("string"), F.lit(RUNS % least_length), F.lit(0))
     found = docs.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("id"), F.explode(runs).alias("run")).select(
         "id", F.translate("run", upper, lower).alias("run"))
     h = F.crc32(F.concat("id", F.lit(":"), "run").cast("binary"))
@@ -44,34 +44,35 @@ def observed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mo
 
 def vocabulary(words: DataFrame, least_length: int = 5, least_count: int = 3) -> DataFrame:
     """(word, n) of the words that are long and frequent enough; counted in every task before the shuffle."""
-    return words.where(F.char_length("word") >= least_length).groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_count)
+    return words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") >= least_count) & (F.char_length("word") >= least_length))
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row a prefix, the whole word included; hashes are built up code point by code point."""
+    """A row a prefix from depth ``begin`` on, the whole word included; hashes are built up code point by code point."""
     import xxhash
 
     out = Out(PREFIXES)
-    for (word,) in rows(batches, "word"):
+    for word, begin in rows(batches, "word", "begin"):
         rolling = xxhash.xxh3_64()
         for depth, char in enumerate([*word, None]):
-            node = rolling.intdigest()
-            if out.add(word, depth, node - (1 << 64) if node >> 63 else node, char):
-                yield out.take()
+            if depth >= begin:
+                node = rolling.intdigest()
+                if out.add(word, depth, node - (1 << 64) if node >> 63 else node, char):
+                    yield out.take()
             if char is not None:
                 rolling.update(char.encode())
     yield out.take()
 
 
-def trie(words: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(edges, paths) of the compressed trie over ``words`` (word).
+def trie(words: DataFrame, begin: Column) -> tuple[DataFrame, DataFrame]:
+    """(edges, paths) of the compressed trie over ``words`` (word), every word from its depth ``begin`` on.
 
     edges: node, first, label, child.  paths: word, node, depth, the nodes of each word's own path.
     """
-    prefixes = cut_lineage(words.select("word").mapInArrow(_prefixes, spark_schema(PREFIXES)))
-    # a prefix is a node if words go on from it in two ways, or if one ends there, or at the root
-    marks = prefixes.groupBy("node").agg(F.min("next").alias("least"), F.max("next").alias("most"), F.max(F.col("next").isNull()).alias("ends"), F.min("depth").alias("least_depth"))
-    nodes = cut_lineage(marks.where("ends OR least_depth = 0 OR least <> most").select("node"))
+    prefixes = cut_lineage(words.select("word", begin.cast("int").alias("begin")).mapInArrow(_prefixes, spark_schema(PREFIXES)))
+    # a prefix is a node if words go on from it in two ways, or if one ends there
+    marks = prefixes.groupBy("node").agg(F.min("next").alias("least"), F.max("next").alias("most"), F.max(F.col("next").isNull()).alias("ends"))
+    nodes = cut_lineage(marks.where("ends OR least <> most").select("node"))
     paths = cut_lineage(join_hot(prefixes.select("word", "depth", "node"), nodes, "node"))
     # the nodes of a word in order: as many as it has code points at most, and one group a word
     steps = paths.groupBy("word").agg(F.array_sort(F.collect_list(F.struct("depth", "node"))).alias("at"))
@@ -88,9 +89,10 @@ def _rest(column: str, begin: Column, length: Column) -> Column:
 def tail_neighbours(words: DataFrame, begin: Column) -> DataFrame:
     """(word, near): ``near`` is ``word`` with one code point from ``begin`` (counted from 0) on replaced or deleted.
 
-    Everything that differs from a word of ``words`` in that way is found; ``near`` may be no word, which the caller's lookup shows.
+    ``begin`` must grow with the word's length, by one at most a code point.  Everything that differs from a word of ``words`` in that way is found; ``near`` may be no word, which the caller's lookup shows.
     """
-    edges, paths = trie(words)
+    # words at one edit differ by one in length and so by one at most in ``begin``
+    edges, paths = trie(words, F.greatest(begin - 1, F.lit(0)))
     size = F.char_length("word")
     own = cut_lineage(paths.where(F.col("depth") >= begin))
     # replacement: another edge of a node on the word's path
