@@ -7,7 +7,8 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, functions as F
 
 from shelfwise.functions import events as ev
-from shelfwise.functions.ids import strip
+from shelfwise.functions.ids import has_id, strip
+from shelfwise.operators.keyed import join_hot
 
 
 def identity_links(events: DataFrame) -> DataFrame:
@@ -23,9 +24,17 @@ def identity_map(events: DataFrame) -> DataFrame:
 
 
 def resolve(events: DataFrame, mapping: DataFrame) -> DataFrame:
-    """Adds ``effective_customer``: earlier anonymous events follow a later link of their session."""
-    key = mapping.select(F.col("session_id").alias("_s"), "mapped")
-    df = events.join(key, strip(F.col("session_id")) == F.col("_s"), "left")
+    """Adds ``effective_customer``: earlier anonymous events follow a later link of their session.
+
+    Only events without a customer look for a link; all others get a key of their own that matches nothing, so neither blank
+    sessions nor known customers meet in one task.  A session with a large share of a stored table is joined where it lies.
+    """
+    session = strip(F.col("session_id"))
+    open_ = ~has_id(F.col("customer_id")) & has_id(F.col("session_id"))
+    alone = F.concat(F.lit("\x1f"), F.xxhash64(*[F.col(f"`{c}`") for c in events.columns]).cast("string"))
+    keyed = events.withColumn("_s", F.when(open_, session).otherwise(alone))
+    links = mapping.select(F.col("session_id").alias("_s"), "mapped")
+    df = keyed.join(links, "_s", "left") if events.isStreaming else join_hot(keyed, links, "_s", "left")
     who = ev.effective_customer(F.col("customer_id"), F.col("mapped"), F.col("session_id"))
     return df.withColumn("effective_customer", who).drop("_s", "mapped")
 

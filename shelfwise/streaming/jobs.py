@@ -79,13 +79,39 @@ def identity_transitions(events: DataFrame, path: str, every: str | None = None)
 
 
 def deduplicated(events: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Redelivered events are dropped as long as they arrive within ``delay``."""
+    """Redelivered events are dropped as long as they arrive within ``delay``; events later than that are dropped, :func:`append_once` keeps them."""
     return events.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["event_id"])
 
 
-def daily_counts(events: DataFrame, delay: str = "1 day") -> DataFrame:
-    return events.withWatermark("ts", delay).groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count("*").alias("n")).select(
-        F.col("w.start").cast("date").alias("date"), "event_type", "n")
+def append_once(events: DataFrame, path: str, key: str = "event_id", every: str | None = None) -> StreamingQuery:
+    """Append every event once, however often and however late it is delivered again.
+
+    What was stored is the state: a batch is compared with the stored events of the days that occur in it, and only those day
+    folders are read.  Redelivered events have the time they had.  A repeated batch replaces its own folder.
+    """
+    spark, schema = events.sparkSession, events.schema
+
+    def run(batch: DataFrame, number: int) -> None:
+        dated = batch.dropDuplicates([key]).withColumn("day", F.col("ts").cast("date"))
+        days = [r.day for r in dated.select("day").distinct().collect()]  # days of one batch
+        if number:
+            stored = spark.read.schema(dated.schema.add("batch", "long")).option("basePath", path).parquet(path)
+            seen = stored.where(F.col("day").isin(days) & (F.col("batch") < number)).select(key)
+            dated = dated.join(seen, key, "left_anti")
+        dated.write.mode("overwrite").partitionBy("day").parquet(f"{path}/batch={number}")
+
+    return _start(events.select(schema.names).writeStream.foreachBatch(run), f"{path}-checkpoint", every)
+
+
+def daily_counts(events: DataFrame, delay: str | None = None) -> DataFrame:
+    """Events per (day, type) as a running aggregate: late events count, the state has a row per day and type.
+
+    ``delay`` ends the state of days that lie that far back, and with it the counting of later events.
+    """
+    if delay is None:
+        return events.groupBy(F.col("ts").cast("date").alias("date"), "event_type").agg(F.count("*").alias("n"))
+    counted = events.withWatermark("ts", delay).groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count("*").alias("n"))
+    return counted.select(F.col("w.start").cast("date").alias("date"), "event_type", "n")
 
 
 def running_popularity(events: DataFrame) -> DataFrame:

@@ -146,3 +146,50 @@ def test_stream_dedupe(spark, sf):
     path = jobs.new_path(spark, "dedupe")
     jobs.finished(jobs.append_to(jobs.deduplicated(stream.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))), "40 days"), path))
     assert spark.read.parquet(path).count() == events.count()
+
+
+def test_late_and_redelivered_events(spark, make):
+    """Three batches: the last has an event far behind all watermarks, one from the first batch again, and one twice in itself."""
+    path = durable_path(spark, "deliveries")
+    for batch in ([(1, "view", "2024-01-05"), (2, "view", "2024-01-05")], [(3, "view", "2024-03-01")],
+                  [(4, "view", "2023-12-31"), (1, "view", "2024-01-05"), (5, "buy", "2024-03-02"), (5, "buy", "2024-03-02")]):
+        df = spark.createDataFrame(batch, "event_id long, event_type string, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
+        df.coalesce(1).write.mode("append").parquet(path)
+
+    def stream():
+        return jobs.file_stream(spark, path, spark.read.parquet(path).schema, files_per_batch=1)
+
+    once = jobs.new_path(spark, "once")
+    jobs.finished(jobs.append_once(stream(), once))
+    assert rows(spark.read.parquet(once), "event_id") == [(1,), (2,), (3,), (4,), (5,)]
+    daily = jobs.new_path(spark, "daily")
+    jobs.finished(jobs.keep_updates(jobs.daily_counts(stream()), daily))
+    got = {(str(r.date), r.event_type): r.n for r in jobs.latest_updates(spark, daily, ["date", "event_type"]).collect()}
+    assert got == {("2024-01-05", "view"): 3, ("2024-03-01", "view"): 1, ("2023-12-31", "view"): 1, ("2024-03-02", "buy"): 2}
+
+
+def test_hot_and_blank_sessions(spark, monkeypatch):
+    """A third of the events without a session, a third of one session: the links still find all of them."""
+    from shelfwise.operators import keyed
+
+    monkeypatch.setattr(keyed, "HOT_ROWS", 100)
+    events = spark.range(3000).selectExpr("id AS event_id", "CASE id % 3 WHEN 0 THEN ' ' WHEN 1 THEN 'bot' ELSE concat('s', id) END AS session_id",
+                                          "IF(id % 50 = 2, concat('c', id), IF(id = 2998, 'owner', NULL)) AS customer_id", "timestamp_seconds(id) AS ts")
+    got = {r.event_id: r.effective_customer for r in identity.resolve(events, identity.identity_map(events)).collect()}
+    for i in range(3000):
+        own = f"c{i}" if i % 50 == 2 else "owner" if i == 2998 else None
+        assert got[i] == (own or (None if i % 3 == 0 else "owner" if i % 3 == 1 else f"s{i}"))
+
+
+def test_all_pairs_without_limit(spark, monkeypatch):
+    from shelfwise.operators import ranking
+
+    monkeypatch.setattr(ranking, "LIST_IDS", 7)
+    who = spark.range(30).selectExpr("concat('c', id) AS customer_id")
+    what = spark.range(40).selectExpr("concat('p', id) AS product_id")
+    known = spark.createDataFrame([("c1", "p2"), ("c1", "p2"), ("zz", "p1")], "customer_id string, product_id string")
+    out = ranking.all_pairs(who, what, known, limit=None)
+    assert out.count() == out.select("customer_id", "product_id").distinct().count() == 1200
+    assert [tuple(r) for r in out.where("target = 1").collect()] == [("c1", "p2", 1)]
+    with pytest.raises(ValueError):
+        ranking.all_pairs(who, what, known, limit=1199)
