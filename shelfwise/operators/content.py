@@ -5,30 +5,34 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, functions as F
 
 from shelfwise.functions.values import let
 from shelfwise.operators.blocks import top_matches
-from shelfwise.operators.encode import dummy_columns, vocabulary, with_scaled
+from shelfwise.operators.encode import dictionary, with_indicators, with_scaled
 
 
 @dataclass(frozen=True)
 class ContentModel:
     vectors: DataFrame  # customer_id, vec
     profiles: DataFrame  # product_id, vec
-    names: tuple[str, ...]  # one per vector position
+    dims: int
     groups: tuple[DataFrame, DataFrame] | None = None  # (customer_id, grp) and (product_id, grp) where tenants are fitted side by side
 
 
-def customer_vectors(customers: DataFrame, numeric: Sequence[str], categorical: Sequence[str], scope: str | None = None) -> tuple[DataFrame, tuple[str, ...]]:
-    """Scaled numeric features followed by indicator columns, as one array per customer."""
-    indicators = dummy_columns(vocabulary(customers, categorical))
-    names = (*numeric, *indicators)
-    if not names:
-        raise ValueError("no customer features")
+def customer_vectors(customers: DataFrame, numeric: Sequence[str], categorical: Sequence[str], scope: str | None = None) -> tuple[DataFrame, int]:
+    """(customer_id, vec) and the length of the vectors: scaled numeric features followed by an indicator for every observed value."""
     own = [scope] if scope else []
-    rows = with_scaled(customers.select("customer_id", *own, *dict.fromkeys([*numeric, *categorical])), numeric, scope) if numeric else customers
-    return rows.select("customer_id", F.array(*[F.col(c) for c in numeric], *indicators.values()).alias("vec")), names
+    rows = customers.select("customer_id", *own, *dict.fromkeys([*numeric, *categorical]))
+    values = dictionary(customers, categorical) if categorical else None
+    dims = len(numeric) + (values.count() if categorical else 0)
+    if not dims:
+        raise ValueError("no customer features")
+    rows = with_indicators(rows, categorical, values, "_marks") if categorical else rows.withColumn("_marks", F.array().cast("array<double>"))
+    rows = with_scaled(rows, numeric, scope) if numeric else rows
+    return rows.select("customer_id", F.concat(F.array(*[F.col(c) for c in numeric]).cast("array<double>"), "_marks").alias("vec")), dims
 
 
 def join_vectors(interactions: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -40,9 +44,10 @@ def join_vectors(interactions: DataFrame, vectors: DataFrame) -> DataFrame:
 def product_profiles(interactions: DataFrame, vectors: DataFrame, dims: int) -> DataFrame:
     """Mean vector over the interactions of each product; unknown customers do not count."""
     rows = join_vectors(interactions, vectors)
-    n = F.sum(F.when(F.col("vec").isNotNull(), F.col("cnt")))
-    mean = F.array(*[F.coalesce(F.sum(F.get("vec", F.lit(i)) * F.col("cnt")) / n, F.lit(0.0)) for i in range(dims)])
-    return rows.groupBy("product_id").agg(mean.alias("vec"))
+    mean = Summarizer.mean(array_to_vector("vec"), F.col("cnt").cast("double"))
+    means = rows.where(F.col("vec").isNotNull()).groupBy("product_id").agg(vector_to_array(mean).alias("vec"))
+    none = F.array_repeat(F.lit(0.0), dims)
+    return interactions.select("product_id").distinct().join(means, "product_id", "left").select("product_id", F.coalesce("vec", none).alias("vec"))
 
 
 def unit(vec: Column) -> Column:
@@ -53,11 +58,11 @@ def unit(vec: Column) -> Column:
 
 def fit(customers: DataFrame, interactions: DataFrame, numeric: Sequence[str], categorical: Sequence[str], scope: str | None = None) -> ContentModel:
     """With ``scope`` (a column of both tables that the ids determine) every scope is scaled and matched by itself."""
-    vectors, names = customer_vectors(customers, numeric, categorical, scope)
+    vectors, dims = customer_vectors(customers, numeric, categorical, scope)
     groups = None
     if scope:
         groups = (customers.select("customer_id", F.col(scope).alias("grp")), interactions.select("product_id", F.col(scope).alias("grp")).distinct())
-    return ContentModel(vectors, product_profiles(interactions, vectors, len(names)), names, groups)
+    return ContentModel(vectors, product_profiles(interactions, vectors, dims), dims, groups)
 
 
 def top_products(model: ContentModel, k: int, offered: DataFrame | None = None) -> DataFrame:
@@ -70,5 +75,5 @@ def top_products(model: ContentModel, k: int, offered: DataFrame | None = None)
         people, goods = model.groups
         queries = queries.join(people.withColumnRenamed("customer_id", "qid"), "qid")
         items = items.join(goods.withColumnRenamed("product_id", "iid"), "iid")
-    out = top_matches(queries, items, k, len(model.names), grouped=model.groups is not None)
+    out = top_matches(queries, items, k, model.dims, grouped=model.groups is not None)
     return out.select(F.col("qid").alias("customer_id"), F.col("iid").alias("product_id"), "score", "rank")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from shelfwise.config import Feature
 from shelfwise.functions.text import slug
+from shelfwise.operators.keyed import global_rank
 from shelfwise.session import cut_lineage
 
 MAX_VOCABULARY = 100_000
@@ -92,6 +93,32 @@ def vocabulary(df: DataFrame, columns: Sequence[str]) -> list[tuple[str, str]]:
     return [(f.name, v) for f in features for v in f.allowed]
 
 
+def dictionary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column_name, value, position): the distinct values of ``columns``, numbered from 0 by column and value; a written table."""
+    cells = df.select(F.inline(F.array(*[
+        F.struct(F.lit(i).alias("at"), F.lit(c).alias("column_name"), F.col(f"`{c}`").cast("string").alias("value")) for i, c in enumerate(columns)])))
+    ranked = global_rank(cells.where("value IS NOT NULL").distinct(), [F.col("at"), F.col("value")], "position")
+    return cut_lineage(ranked.select("column_name", "value", (F.col("position") - 1).cast("int").alias("position")))
+
+
+def with_indicators(df: DataFrame, columns: Sequence[str], values: DataFrame, out: str) -> DataFrame:
+    """Adds ``out``: an array of 0 and 1 over the positions of ``values`` (:func:`dictionary`); an unseen or missing value is 0 everywhere.
+
+    The plan has a join a column, however many values there are; Spark broadcasts the dictionary while it is small.
+    """
+    size = values.count()
+    at = []
+    for i, c in enumerate(columns):
+        own = values.where(F.col("column_name") == c).select(F.col("value").alias(f"_v{i}"), F.col("position").alias(f"_p{i}"))
+        df = df.join(own, F.col(f"`{c}`").cast("string") == F.col(f"_v{i}"), "left")
+        at.append(f"_p{i}")
+    if not size:
+        return df.withColumn(out, F.array().cast("array<double>")).drop(*at, *[f"_v{i}" for i in range(len(at))])
+    ones = F.array_compact(F.array(*at))
+    cells = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda p: F.array_contains(F.col("_ones"), p).cast("double"))
+    return df.withColumn("_ones", ones).withColumn(out, cells).drop("_ones", *at, *[f"_v{i}" for i in range(len(at))])
+
+
 def dummy_columns(pairs: Sequence[tuple[str, str]]) -> dict[str, Column]:
     """0/1 columns for observed values; an unseen or missing value is 0 everywhere."""
     return {f"{c}_{v}": F.coalesce((F.col(c).cast("string") == v).cast("double"), F.lit(0.0)) for c, v in pairs}

@@ -197,7 +197,7 @@ def describe_customers(spark, sf):
 @query("product_profiles", "shoppers", "bought", sql=f"SELECT product_id, {', '.join(f'round({f}, 6) AS {f}' for f in DIMS)} FROM {PROFILES}")
 def product_profiles(spark, sf):
     model = content_model(spark, sf)
-    return model.profiles.select("product_id", *[F.round(F.get("vec", F.lit(i)), 6).alias(f"f{i}") for i in range(len(model.names))])
+    return model.profiles.select("product_id", *[F.round(F.get("vec", F.lit(i)), 6).alias(f"f{i}") for i in range(model.dims)])
 
 
 TRAINED = "(SELECT DISTINCT product_id FROM bought WHERE CAST(ts AS DATE) < DATE '1995-02-01')"

@@ -228,3 +228,19 @@ def test_tenants_alone_and_together(make):
     alone = tenant_run.run_tenants(people.where("tenant_id = 'b'"), goods, facts.where("tenant_id = 'b'"), ["tenure"], ["plan"], [Feature("price")], n=3, k=3, trees=5)
     for one, other in ((both.scores, alone.scores), (both.lists, alone.lists)):
         assert rows(one.where("tenant_id = 'b'").na.fill("-")) == rows(other.na.fill("-"))
+
+
+def test_many_values(spark):
+    """20,000 values of a category: the plan does not grow with them, vectors and profiles are right."""
+    def model(n):
+        people = spark.range(n).selectExpr("concat('c', id) AS customer_id", "CAST(id % 7 AS DOUBLE) AS size", "IF(id = 3, NULL, lpad(id, 6, '0')) AS tag", "IF(id % 2 = 0, 'x', 'y') AS kind")
+        bought = spark.createDataFrame([("c1", "p1"), ("c1", "p1"), ("c2", "p1"), ("c3", "p2"), ("zz", "p3")], "customer_id string, product_id string")
+        return content.fit(people, bought, ["size"], ["tag", "kind"])
+
+    large, small = model(20_000), model(5)
+    plan = lambda df: len(df._jdf.queryExecution().analyzed().toString().splitlines())
+    assert large.dims == 1 + 19_999 + 2 and plan(large.profiles) == plan(small.profiles) and plan(large.vectors) == plan(small.vectors)
+    got = {r.product_id: np.array(r.vec) for r in large.profiles.collect()}
+    # positions: size, then tags by value (number 3 is missing), then x and y
+    assert np.allclose(got["p1"][[1 + 1, 1 + 2, -2, -1]], [2 / 3, 1 / 3, 1 / 3, 2 / 3]) and np.count_nonzero(got["p1"][1:]) == 4
+    assert np.allclose(got["p2"][1:-2], 0) and got["p2"][-1] == 1 and not got["p3"].any()
