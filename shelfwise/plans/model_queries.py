@@ -48,6 +48,49 @@ def hybrid_blend(spark, sf):
     return factors.hybrid(closest, collaborative, 5)
 
 
+# the leading factor by plain power iteration; it has no negative entry and lies far from the next one
+LEADING = """
+    cells AS MATERIALIZED (SELECT customer_id, product_id, count(*) AS cnt FROM bought GROUP BY 1, 2),
+    power AS (SELECT 0 AS step, product_id, CAST(1 AS DOUBLE) AS v FROM (SELECT DISTINCT product_id FROM cells)
+        UNION ALL
+        SELECT step, product_id, s / sqrt(sum(s * s) OVER ()) FROM (
+            SELECT step + 1 AS step, c.product_id, sum(c.cnt * u) AS s FROM cells c JOIN (
+                SELECT step, customer_id, sum(cnt * v) AS u FROM power JOIN cells USING (product_id) WHERE step < 60 GROUP BY 1, 2) USING (customer_id) GROUP BY 1, 2)),
+    factor AS (SELECT product_id, v FROM power WHERE step = 60),
+    people AS (SELECT customer_id, sum(cnt * v) AS u FROM cells JOIN factor USING (product_id) GROUP BY 1),
+    led AS (SELECT customer_id, product_id, round(score, 9) AS score, row_number() OVER (PARTITION BY customer_id ORDER BY round(score, 9) DESC, product_id) AS rank FROM (
+        SELECT customer_id, f.product_id, u * v AS score FROM people, factor f) s
+        WHERE NOT EXISTS (SELECT 1 FROM cells c WHERE c.customer_id = s.customer_id AND c.product_id = s.product_id))"""
+
+
+def leading_factor(spark, sf):
+    return factors.svd_fit(one(spark, sf, "bought"), 1, tolerance=1e-11)
+
+
+@query("cf_svd_leading", "bought", sql=f"WITH RECURSIVE {LEADING.strip()} SELECT product_id, round(v, 7) AS v0 FROM factor")
+def cf_svd_leading(spark, sf):
+    """The first factor alone, where plain SQL can follow."""
+    return leading_factor(spark, sf).products.select("product_id", F.round(F.abs(F.get("vec", F.lit(0))), 7).alias("v0"))
+
+
+@query("cf_topk_leading", "bought", sql=f"WITH RECURSIVE {LEADING.strip()} SELECT customer_id, product_id, round(score, 6) AS score, rank FROM led WHERE rank <= 5")
+def cf_topk_leading(spark, sf):
+    out = factors.top_products(leading_factor(spark, sf), 5)
+    return out.select("customer_id", "product_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query("hybrid_blend_leading", "shoppers", "bought", sql=f"""
+    WITH RECURSIVE {LEADING.strip()}, near AS (SELECT customer_id, product_id, rank FROM {CONTENT} WHERE rank <= 10),
+    s AS (SELECT customer_id, product_id, sum(points) AS score FROM (
+        SELECT customer_id, product_id, 0.5 * (count(*) OVER (PARTITION BY customer_id) - rank + 1) AS points FROM near
+        UNION ALL SELECT customer_id, product_id, 0.5 * (count(*) OVER (PARTITION BY customer_id) - rank + 1) FROM led WHERE rank <= 10) GROUP BY 1, 2)
+    SELECT customer_id, product_id, CAST(score AS DOUBLE) AS score, rank FROM (
+        SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY score DESC, product_id) AS rank FROM s) WHERE rank <= 5""")
+def hybrid_blend_leading(spark, sf):
+    """The hybrid of content and collaborative lists with one factor."""
+    return factors.hybrid(content.top_products(content_model(spark, sf), 10), factors.top_products(leading_factor(spark, sf), 10), 5)
+
+
 @query("rank_blend_generic", "shoppers", "bought", sql=f"""
     WITH p AS (SELECT customer_id, product_id, row_number() OVER (PARTITION BY customer_id ORDER BY sum(weight) DESC, product_id) AS rank FROM bought GROUP BY 1, 2),
     c AS (SELECT customer_id, product_id, rank FROM {CONTENT} WHERE rank <= 10), b AS (SELECT * FROM p WHERE rank <= 10),
