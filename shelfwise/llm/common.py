@@ -11,8 +11,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from shelfwise.session import cut_lineage
-
 WORD = r"[^\x20\x09-\x0D]+"  # bytes.split() cuts UTF-8 text at exactly these places
 CACHE_WORDS = 200_000  # entries a task's word cache may hold before it starts afresh
 
@@ -147,24 +145,3 @@ def likely(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
     hit = df.withColumn("__word", word).join(F.broadcast(table_), "__word").where(
         F.call_function("shiftright", F.col("__bits"), bit).bitwiseAND(F.lit(1)) == 1)
     return hit.select(df.columns)
-
-
-HOT_SHARE = 200  # a key is hot from 1 / HOT_SHARE of the rows on, so there are fewer than HOT_SHARE hot keys
-HOT_ROWS = 1 << 20  # one task takes so many narrow rows, so no key of a smaller table is hot
-
-
-def join_hot(left: DataFrame, right: DataFrame, on: str, how: str = "inner") -> DataFrame:
-    """``left`` joined to the few rows that ``right`` has of a key, whatever share of ``left`` one key holds.
-
-    Keys with more than 1 / HOT_SHARE of the rows of ``left`` stay where they are and get their rows of ``right`` by
-    broadcast; those are fewer than HOT_SHARE keys.  ``left`` is read three times: hand in a written table.
-    """
-    total = left.count()
-    if total <= HOT_ROWS:
-        return left.join(right, on, how)
-    hot = cut_lineage(left.groupBy(on).count().where(F.col("count") * HOT_SHARE > total).select(on).where(F.col(on).isNotNull()))
-    if hot.isEmpty():
-        return left.join(right, on, how)
-    few = right.join(F.broadcast(hot), on, "left_semi")
-    return left.join(F.broadcast(hot), on, "left_anti").join(right, on, how).unionByName(
-        left.join(F.broadcast(hot), on, "left_semi").join(F.broadcast(few), on, how))

@@ -78,10 +78,10 @@ def test_long_and_nested_words(spark):
 
 def test_hot_prefix(spark, monkeypatch):
     """A third of all words with one beginning, and one node that is hot for every join."""
-    from shelfwise.llm import common
+    from shelfwise.operators import keyed
 
-    monkeypatch.setattr(common, "HOT_SHARE", 20)
-    monkeypatch.setattr(common, "HOT_ROWS", 1)
+    monkeypatch.setattr(keyed, "HOT_SHARE", 20)
+    monkeypatch.setattr(keyed, "HOT_ROWS", 1)
     draw = random.Random(5)
     words = {("unter" if i % 3 == 0 else "") + "".join(draw.choice("abcd") for _ in range(5)): draw.randint(3, 50) for i in range(900)}
     assert variants(spark, words) == brute(words)

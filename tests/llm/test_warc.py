@@ -98,9 +98,9 @@ def test_empty_and_invalid(spark, tmp_path):
 
 def test_hot_payload(spark, tmp_path, monkeypatch):
     """One payload on a third of the rows: they stay in their tasks and all refer to the smallest id."""
-    from shelfwise.llm import common
+    from shelfwise.operators import keyed
 
-    monkeypatch.setattr(common, "HOT_ROWS", 1000)
+    monkeypatch.setattr(keyed, "HOT_ROWS", 1000)
     pages = spark.range(30_000).selectExpr("id AS page_id", "'u' AS url", "IF(id % 3 = 0, 'x', concat('x', id)) AS html").repartition(4)
     out = warc.read_archives(spark, warc.write_archives(pages, str(tmp_path)), with_payload=False)
     assert out.where("record_type = 'revisit' AND refers_to = 0 AND page_id % 3 = 0").count() == 9_999
