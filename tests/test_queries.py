@@ -11,7 +11,7 @@ import __spark_entry__ as entry  # noqa: E402
 from compare import canonical  # noqa: E402
 from shelfwise.plans.roles import TABLES  # noqa: E402
 
-SLOW = {"model_tournament", "ranking_fit", "ranking_topk"}  # 100 boosting rounds of several jobs each; their operators are tested on small tables
+SLOW = {"train_all_tenants", "run_pipeline_all_tenants", "model_tournament", "ranking_fit", "ranking_topk"}  # a minute or more each; test_models.py runs their operators on small tables
 
 
 @pytest.fixture(scope="module")
