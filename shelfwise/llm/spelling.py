@@ -14,38 +14,67 @@ Hashes only prune: a pair is made of the word itself with its edit, and the look
 
 from __future__ import annotations
 
+import re
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from shelfwise.llm.common import Out, rows, spark_schema
+from shelfwise.llm.common import Out, batch, rows, spark_schema, text_bytes
 from shelfwise.operators.keyed import join_hot
 from shelfwise.session import cut_lineage
 
-RUNS = r"[A-Za-zÀ-ÿ]{%d,}"  # whole runs: a match begins where a run does, and a run that is too short has none
+LETTERS = "[a-zÀ-ÿ]{%d,}"  # whole runs of a text whose A to Z are in lower case: a match begins where a run does, and a run that is too short has none
+COUNTED = pa.schema([("word", pa.string()), ("n", pa.int64())])
 PREFIXES = pa.schema([("word", pa.string()), ("depth", pa.int32()), ("node", pa.int64()), ("next", pa.string())])
+FLUSH_WORDS = 400_000  # distinct words a task counts before it hands them on
+LONG_TEXT = 1 << 20  # characters, above which the runs of a text are not listed before they are counted
+
+
+def _observe(least_length: int, modulus: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        letters = re.compile(LETTERS % least_length)
+        counted: Counter = Counter()
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            words = list(counted)
+            for i in range(0, len(words), 50_000):
+                part = words[i:i + 50_000]
+                yield batch(COUNTED, [part, [counted[w] for w in part]])
+            counted.clear()
+
+        for id_, raw in rows(batches, "id", "text"):
+            text = raw.lower().decode("utf-8", "replace")  # of bytes, only A to Z change
+            runs = Counter(letters.findall(text) if len(text) <= LONG_TEXT else (m.group() for m in letters.finditer(text)))
+            begun = zlib.crc32(f"{id_}:".encode())
+            for word, n in runs.items():
+                h = zlib.crc32(word.encode(), begun)
+                if h % modulus == 0:
+                    at = h % len(word)
+                    word = word[:at] + word[at + 1:]
+                counted[word] += n
+            if len(counted) > FLUSH_WORDS:
+                yield from flush()
+        yield from flush()
+    return run
 
 
 def observed(docs: DataFrame, least_length: int = 1, id_col: str = "doc_id", text_col: str = "text", modulus: int = 97) -> DataFrame:
-    """(word): every occurrence of a run of at least ``least_length`` letters, A to Z in lower case, with the planted slips.
+    """(word, n): occurrences of runs of at least ``least_length`` letters, A to Z in lower case, with the planted slips.
 
     Where ``modulus`` divides h, the unsigned crc32 of the UTF-8 of ``<id>:<run>``, the run loses its code point h % length.
-    A null text has no words, a null id counts as an empty one.
+    A null text has no words, a null id counts as an empty one; bytes that are no UTF-8 belong to no run.  Every task counts what it
+    reads, so a word has several rows; repeated rows of ``docs`` count each.
     """
-    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-    runs = F.regexp_extract_all(F.col(text_col).cast("string"), F.lit(RUNS % least_length), F.lit(0))
-    found = docs.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("id"), F.explode(runs).alias("run")).select(
-        "id", F.translate("run", upper, lower).alias("run"))
-    h = F.crc32(F.concat("id", F.lit(":"), "run").cast("binary"))
-    at = (h % F.char_length("run")).cast("int")
-    slipped = F.concat(F.substring(F.col("run"), F.lit(1), at), F.substring(F.col("run"), at + 2, F.char_length("run")))
-    return found.select(F.when(h % modulus == 0, slipped).otherwise(F.col("run")).alias("word"))
+    read = docs.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("id"), text_bytes(text_col).alias("text"))
+    return read.mapInArrow(_observe(least_length, modulus), spark_schema(COUNTED))
 
 
 def vocabulary(words: DataFrame, least_length: int = 5, least_count: int = 3) -> DataFrame:
-    """(word, n) of the words that are long and frequent enough; counted in every task before the shuffle."""
-    return words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") >= least_count) & (F.char_length("word") >= least_length))
+    """(word, n) of the words that are long and frequent enough, from the partial counts in ``words`` (word, n)."""
+    return words.groupBy("word").agg(F.sum("n").alias("n")).where((F.col("n") >= least_count) & (F.char_length("word") >= least_length))
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,15 +138,19 @@ def tail_neighbours(words: DataFrame, begin: Column) -> DataFrame:
     # deletion: the last of equal code points in a row goes
     deleted = own.where((at < size) & ((at + 1 == size) | (_rest("word", at + 1, F.lit(1)) != _rest("word", at + 2, F.lit(1))))).select(
         "word", (at + 1).alias("position"), "node", F.concat(_rest("word", F.lit(1), at), _rest("word", at + 2, size)).alias("near"))
-    frontier = cut_lineage(replaced.unionByName(deleted))
+    position = F.col("position")
+
+    def written(states: DataFrame) -> DataFrame:
+        """The states with the edge that each takes next, null at the end of the word."""
+        return cut_lineage(states.withColumn("step", F.when(position < size, F.xxhash64("node", _rest("word", position + 1, F.lit(1))))))
+
+    frontier = written(replaced.unionByName(deleted))
+    steps = edges.select(F.xxhash64("node", "first").alias("step"), "label", "child")
     found = []
     while True:
-        found.append(frontier.where(F.col("position") == size).select("word", "near"))
-        going = frontier.where(F.col("position") < size).select("*", F.xxhash64("node", _rest("word", F.col("position") + 1, F.lit(1))).alias("step"))
-        steps = edges.select(F.xxhash64("node", "first").alias("step"), "label", "child")
-        position = F.col("position")
-        frontier = cut_lineage(
-            join_hot(cut_lineage(going), steps, "step")
+        found.append(frontier.where("step IS NULL").select("word", "near"))
+        frontier = written(
+            join_hot(frontier.where("step IS NOT NULL"), steps, "step")
             .where((position + length <= size) & (_rest("word", position + 1, length) == F.col("label")))
             .select("word", (position + length).alias("position"), F.col("child").alias("node"), "near"))
         if frontier.isEmpty():
