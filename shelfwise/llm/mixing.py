@@ -22,7 +22,8 @@ from shelfwise.session import cut_lineage
 BLOCK_WORDS = 256
 SHARD_SLOTS = 1024
 BUCKET_ROWS = 5000
-MAX_DRAW = 500_000_000  # NumPy draws from at most so many slots; larger ranges are split in proportion
+MAX_DRAW = 500_000_000  # NumPy's own sampler draws from at most so many slots; beyond, ``drawn`` inverts the distribution
+KEPT_DRAWS = 100_000  # draws a task remembers; neighbouring shards share all but the last of theirs
 ROUNDS = 6
 
 
@@ -99,21 +100,54 @@ class Source:
         return epochs * self.blocks + slots, slots * BLOCK_WORDS - (short if place < slots else 0) - rest
 
 
-def draw_counts(quota: np.ndarray, shards: int, shard: int, slots: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """(first, counts): per source the slots before ``shard`` and in it, the same on every call."""
+def drawn(good: int, bad: int, take: int, rng: np.random.Generator) -> int:
+    """How many of ``take`` slots drawn without replacement are good: a hypergeometric draw at every size.
+
+    Beyond MAX_DRAW the probabilities around the mode follow from the ratios of neighbours, 12 standard deviations to either side
+    (what lies outside has less than 1e-30 of the mass), so work and memory grow with the square root of the slots.
+    """
+    if good + bad <= MAX_DRAW:
+        return int(rng.hypergeometric(good, bad, take))
+    low, high, total = max(0, take - bad), min(good, take), good + bad
+    mode = min(high, max(low, (take + 1) * (good + 1) // (total + 2)))
+    spread = (take / total * good * (bad / total) * ((total - take) / max(1, total - 1))) ** 0.5
+    reach = int(12 * spread) + 20
+    low, high = max(low, mode - reach), min(high, mode + reach)
+    k = np.arange(low, high, dtype=np.float64)
+    logs = np.concatenate([[0.0], np.cumsum(np.log(good - k) + np.log(take - k) - np.log(k + 1) - np.log(bad - take + k + 1))])
+    mass = np.cumsum(np.exp(logs - logs[mode - low]))
+    return low + int(np.searchsorted(mass[:-1], rng.random() * mass[-1], side="right"))
+
+
+def split_draw(quota: np.ndarray, take: int, key: list[int]) -> np.ndarray:
+    """How many of ``take`` slots drawn from all that sources owe fall to each source."""
+    rng = np.random.default_rng(key)
+    total = int(quota.sum())
+    if total <= MAX_DRAW:
+        return rng.multivariate_hypergeometric(quota, take, method="marginals") if total else quota.copy()
+    out = np.zeros_like(quota)
+    for i, good in enumerate(quota.tolist()):
+        total -= good
+        out[i] = drawn(good, total, take, rng)
+        take -= int(out[i])
+    return out
+
+
+def draw_counts(quota: np.ndarray, shards: int, shard: int, slots: int, seed: int, kept: dict | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(first, counts): per source the slots before ``shard`` and in it, the same on every call.
+
+    ``kept`` remembers draws between calls with the same other arguments.
+    """
+    kept = {} if kept is None else kept
     low, high = 0, shards
     first, quota = np.zeros(len(quota), np.int64), quota.astype(np.int64)
     while high - low > 1:
         mid = (low + high) // 2
-        take, total = (mid - low) * slots, int(quota.sum())
-        take = min(take, total)
-        if total > MAX_DRAW:
-            share = quota * (take / total)
-            left = np.floor(share).astype(np.int64)
-            left[np.argsort(left - share, kind="stable")[:take - int(left.sum())]] += 1
-        else:
-            rng = np.random.default_rng([seed, low, high])
-            left = rng.multivariate_hypergeometric(quota, take, method="marginals") if total else quota.copy()
+        left = kept.get((low, high))
+        if left is None:
+            if len(kept) >= KEPT_DRAWS:
+                kept.clear()
+            left = kept[low, high] = split_draw(quota, min((mid - low) * slots, int(quota.sum())), [seed, low, high])
         if shard < mid:
             quota, high = left, mid
         else:
@@ -128,9 +162,10 @@ def _slots(sources: list[Source], shards: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plans = [s.plan() for s in sources]
         quota = np.array([p[0] for p in plans], np.int64)
+        kept: dict = {}
         for b in batches:
             for shard in b.column(0).to_pylist():
-                first, counts = draw_counts(quota, shards, shard, SHARD_SLOTS, seed)
+                first, counts = draw_counts(quota, shards, shard, SHARD_SLOTS, seed, kept)
                 parts = []
                 for s, (slots, cut), a, n in zip(sources, plans, first.tolist(), counts.tolist()):
                     if not n:

@@ -1,4 +1,5 @@
 from collections import Counter, defaultdict
+from math import comb
 
 import numpy as np
 import pytest
@@ -33,6 +34,40 @@ def test_draws_meet_the_quota():
     assert len({c[2] for _, c in parts}) > 1
 
 
+@pytest.mark.parametrize("good,bad,take", [(7, 9, 6), (3, 0, 2), (0, 5, 4), (40, 3, 41), (1, 1, 1), (5, 5, 0)])
+def test_inverted_draw_has_the_distribution(monkeypatch, good, bad, take):
+    """Ranges beyond MAX_DRAW: shares of 20,000 draws against the exact probabilities."""
+    monkeypatch.setattr(mx, "MAX_DRAW", -1)
+    rng = np.random.default_rng(8)
+    got = Counter(mx.drawn(good, bad, take, rng) for _ in range(20_000))
+    exact = {k: comb(good, k) * comb(bad, take - k) / comb(good + bad, take) for k in range(max(0, take - bad), min(good, take) + 1)}
+    assert set(got) <= set(exact)
+    assert all(abs(got[k] / 20_000 - p) <= 5 * (p * (1 - p) / 20_000) ** 0.5 + 1e-9 for k, p in exact.items())
+
+
+def test_large_draws_vary_as_they_should():
+    good, bad, take = 6_000_000_000, 3_000_000_000, 4_500_000_000
+    draws = np.array([mx.drawn(good, bad, take, np.random.default_rng([3, i])) for i in range(300)], float)
+    spread = (take * (2 / 3) * (1 / 3) * (good + bad - take) / (good + bad - 1)) ** 0.5
+    assert abs(draws.mean() - take * 2 / 3) < 5 * spread / 300 ** 0.5
+    assert 0.8 < draws.std() / spread < 1.2
+
+
+def test_large_plans_meet_the_quota(monkeypatch):
+    """Halving far beyond MAX_DRAW: shards follow each other, fill up, and remembered draws change nothing."""
+    quota, shards = np.array([2_000_000_000, 0, 700_000_000, 1]), 2_636_719
+    kept = {}
+    for shard in (0, 1, 1_318_358, 1_318_359, shards - 2, shards - 1):
+        first, counts = mx.draw_counts(quota, shards, shard, 1024, 5, kept)
+        alone = mx.draw_counts(quota, shards, shard, 1024, 5)
+        assert (first.tolist(), counts.tolist()) == (alone[0].tolist(), alone[1].tolist())
+        assert first.sum() == shard * 1024 and counts.sum() == min(1024, quota.sum() - shard * 1024) and (counts >= 0).all()
+        if shard == shards - 1:
+            assert (first + counts).tolist() == quota.tolist()
+        else:
+            assert (first + counts).tolist() == mx.draw_counts(quota, shards, shard + 1, 1024, 5, kept)[0].tolist()
+
+
 @pytest.mark.parametrize("size,target", [(1000, 1000.0), (1000, 1500.4), (1000, 999.6), (1000, 3000.0), (100, 30.0), (257, 256.0), (512, 700.0), (5, 0.2), (0, 0.0)])
 def test_plan_takes_the_target(size, target):
     s = mx.Source(3, size, target, 5)
