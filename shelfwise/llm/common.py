@@ -130,16 +130,21 @@ def held_out(id_column: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_column).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-FILTER_BITS = 1 << 23
+FILTER_BITS = 1 << 23  # least size of the bit table of ``likely``
+MOST_FILTER_BITS = 1 << 28  # 2^22 rows of two numbers, some 64 MB; where a table needs more, there is none
+BITS_A_KEY = 8  # so at most one row in eight passes by chance
 
 
 def likely(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
-    """The rows of ``df`` whose 64-bit hash ``key`` may be in ``keys``, found without moving them.
+    """The rows of ``df`` whose 64-bit hash ``key`` may be in ``keys`` (a written table), found without moving them.
 
-    A bit table of fixed size is broadcast: at most FILTER_BITS / 64 rows of two numbers, whatever the size of
-    ``keys``.  It never loses a key; what passes by chance is left to the join that follows.
+    A bit table is broadcast whose size follows from the counted keys.  It never loses a key; what passes by chance is left to the
+    join that follows, as are all rows where the keys are too many for a broadcast.
     """
-    place = F.pmod(F.col(key), F.lit(FILTER_BITS))
+    bits = max(FILTER_BITS, 1 << max(0, BITS_A_KEY * keys.count() - 1).bit_length())
+    if bits > MOST_FILTER_BITS:
+        return df
+    place = F.pmod(F.col(key), F.lit(bits))
     word, bit = F.shiftright(place, 6), F.pmod(place, F.lit(64)).cast("int")
     table_ = keys.select(word.alias("__word"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("__bit")).groupBy("__word").agg(F.bit_or("__bit").alias("__bits"))
     hit = df.withColumn("__word", word).join(F.broadcast(table_), "__word").where(
