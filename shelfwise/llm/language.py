@@ -2,8 +2,8 @@
 
 A language's model predicts every letter of a word, and the word's end, from the letters before it.  All
 learning documents are counted (distinct words first, so the text is walked once); continuation counts,
-discounts and back-off weights are aggregations over the n-gram table.  A task holds the models as arrays
-sorted by n-gram hash, with a column per language, and scores each distinct word once.  The language with
+discounts and back-off weights are aggregations over the n-gram table.  It is stored as arrays sorted by n-gram
+hash, in parts of bounded size, and a task scores each distinct word once.  The language with
 the lowest cross-entropy a letter wins; a text that its own language's documents make unlikely is rejected.
 """
 
@@ -16,21 +16,32 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import pyarrow.compute as pc
+from pyarrow import fs
+from pyspark.sql import Column, DataFrame, functions as F
 
 from shelfwise.llm.common import Out, batch, mix, rows, spark_schema, text_bytes
-from shelfwise.session import cut_lineage
+from shelfwise.llm.warc import file_system
+from shelfwise.session import cut_lineage, durable_path
 
 ORDER = 4
 START, END = "\x02", "\x03"  # never letters
 FLUSH_WORDS = 200_000  # distinct words a task counts before it hands n-grams on
 CACHE_WORDS = 200_000
-MODEL_CELLS = 1 << 24  # n-grams times languages that a task may hold (two 32-bit numbers each)
+CACHE_CELLS = 1 << 23  # words times languages in the cache
+PART_ENTRIES = 1 << 22  # n-grams of a language in a part of the model (12 bytes each, and 16 an n-gram)
+PIECE_ENTRIES = 1 << 17  # of them in a task that builds the arrays
+HELD_PARTS = 2
+HELD_BYTES = 1 << 20  # text whose new words are scored at once
+SCORE_CELLS = 1 << 22  # letters times languages
 UNKNOWN = 1e-6  # share of a letter that no language has
 LETTERS = re.compile(r"[^\W\d_]+")
 NO_LANGUAGE = "und"
 
 GRAMS = pa.schema([("lang", pa.string()), ("gram", pa.string()), ("n", pa.int64())])
+HASHED = pa.schema([("homes", pa.list_(pa.int32())), ("piece", pa.int32()), ("n", pa.int32()), ("hash", pa.int64()), ("lang", pa.string()), ("share", pa.float64()), ("weight", pa.float64())])
+PIECES = pa.schema([("piece", pa.int32()), ("n", pa.int32()), *((c, pa.binary()) for c in ("hashes", "sizes", "languages", "shares", "weights"))])
+BUILT = pa.schema([("part", pa.int32()), *PIECES])
 
 
 def word_matrix(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -89,43 +100,128 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 @dataclass(frozen=True)
-class Model:
-    """Per n = 1..ORDER: sorted n-gram hashes, and per language the n-gram's discounted share and its weight as a context."""
+class Part:
+    """Of n-grams, n = 1..ORDER: sorted hashes, where the entries of each begin, and the entries' language, share and weight as a context."""
 
-    languages: tuple[str, ...]
     hashes: tuple[np.ndarray, ...]
+    starts: tuple[np.ndarray, ...]
+    languages: tuple[np.ndarray, ...]
     shares: tuple[np.ndarray, ...]
-    backoffs: tuple[np.ndarray, ...]
+    weights: tuple[np.ndarray, ...]
+
+    def entries(self, n: int, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places in ``wanted``, entry numbers) of all entries of the n-grams with these hashes."""
+        if len(self.hashes[n]) == 0:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        at = np.minimum(np.searchsorted(self.hashes[n], wanted), len(self.hashes[n]) - 1)
+        hit = np.flatnonzero(self.hashes[n][at] == wanted)
+        first, size = self.starts[n][at[hit]], np.diff(self.starts[n])[at[hit]]
+        before = np.cumsum(size) - size
+        return np.repeat(hit, size), np.arange(size.sum()) + np.repeat(first - before, size)
+
+
+def part_of(table: pa.Table) -> Part:
+    """The Part whose pieces, ranges of hashes, are the rows of PIECES."""
+    got = sorted(table.to_pylist(), key=lambda r: r["piece"])
+    pieces = [[r for r in got if r["n"] == n] for n in range(1, ORDER + 1)]
+
+    def joined(name: str, kind: str) -> tuple[np.ndarray, ...]:
+        return tuple(np.frombuffer(b"".join(r[name] for r in own), kind) for own in pieces)
+
+    sizes = joined("sizes", "<i4")
+    return Part(joined("hashes", "<u8"), tuple(np.append(0, np.cumsum(x)).astype(np.int64) for x in sizes), joined("languages", "<u4"), joined("shares", "<f4"), joined("weights", "<f4"))
+
+
+@dataclass(frozen=True)
+class Model:
+    """The n-grams of all languages, in ``parts`` parts by the letter before the last one.
+
+    A letter's probability needs n-grams that end with it and contexts that end with the letter before it, so one part has all of
+    them.  ``held`` are the first parts, a few of bounded size; tasks read the others from ``path``.
+    """
+
+    languages: tuple[str, ...]
+    parts: int
+    held: tuple[Part, ...]
+    path: str
     floor: np.ndarray  # share of a character below all orders
 
+    def part(self, i: int) -> Part:
+        if i < len(self.held):
+            return self.held[i]
+        from pyarrow import parquet
+
+        system, at = file_system(f"{self.path}/part={i}")
+        files = [f for f in system.get_file_info(fs.FileSelector(at, allow_not_found=True)) if f.path.endswith(".parquet")]
+        return part_of(pa.concat_tables([parquet.ParquetFile(system.open_input_file(f.path)).read() for f in files] or [PIECES.empty_table()]))
+
     def word_scores(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(negative log likelihood per word and language, predicted characters per word)."""
         chars, of = word_matrix(words)
-        known = []
-        for n, h in enumerate(gram_hashes(chars)):
-            at = np.minimum(np.searchsorted(self.hashes[n], h), len(self.hashes[n]) - 1)
-            known.append((at, self.hashes[n][at] == h))
+        hashes = gram_hashes(chars)
         ends = np.flatnonzero(chars != ord(START))
-        p = np.broadcast_to(self.floor, (len(ends), len(self.languages)))
-        for n, (at, hit) in enumerate(known):
-            share = np.where(hit[ends, None], self.shares[n][at[ends]], 0)
-            if n == 0:
-                p = share + p
-            else:  # the context is the shorter n-gram that ends a place earlier
-                c_at, c_hit = known[n - 1]
-                weight = np.where(c_hit[ends - 1, None], self.backoffs[n - 1][c_at[ends - 1]], 1)
-                p = share + weight * p
-        nats = -np.log(np.maximum(p, 1e-12))
-        starts = np.searchsorted(of[ends], np.arange(len(words)))
-        return np.add.reduceat(nats, starts, axis=0), np.diff(np.append(starts, len(ends)))
+        total = np.zeros((len(words), len(self.languages)))
+        home = chars[ends - 1] % np.uint64(self.parts)
+        most = max(1, SCORE_CELLS // len(self.languages))
+        for i in np.unique(home).tolist():
+            part, mine = self.part(i), ends[home == i]
+            for first in range(0, len(mine), most):
+                at = mine[first:first + most]
+                p = np.tile(self.floor, (len(at), 1))
+                for n in range(ORDER):
+                    if n:  # the context is the shorter n-gram that ends a place earlier
+                        place, entry = part.entries(n - 1, hashes[n - 1][at - 1])
+                        p[place, part.languages[n - 1][entry]] *= part.weights[n - 1][entry]
+                    place, entry = part.entries(n, hashes[n][at])
+                    p[place, part.languages[n][entry]] += part.shares[n][entry]
+                new = np.flatnonzero(np.append(True, np.diff(of[at]) != 0))
+                total[of[at[new]]] += np.add.reduceat(-np.log(np.maximum(p, 1e-12)), new, axis=0)
+        return total, np.bincount(of[ends], minlength=len(words))
+
+
+def _hash(pieces: int):
+    """Entries with the hash of their n-gram, and the range of hashes that it lies in."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for got in batches:
+            for n in range(1, ORDER + 1):
+                own = got.filter(pc.equal(got["n"], n))
+                if own.num_rows == 0:
+                    continue
+                text = b"".join(own["gram"].cast(pa.binary()).to_pylist()).decode("utf-8", "surrogatepass")
+                h = _hash_rows(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64).reshape(-1, n))
+                piece = (h >> np.uint64(32)) * np.uint64(pieces) >> np.uint64(32)
+                columns = [own["homes"], pa.array(piece.astype(np.int32)), own["n"], pa.array(h.view(np.int64)), *(own[c] for c in ("lang", "share", "weight"))]
+                yield pa.RecordBatch.from_arrays(columns, schema=HASHED)
+    return run
+
+
+def _build(number: dict[str, int]):
+    """The entries of a piece as sorted arrays, a row for each n."""
+    def run(table: pa.Table) -> pa.Table:
+        out = []
+        for n in range(1, ORDER + 1):
+            own = table.filter(pc.equal(table["n"], n)).combine_chunks()
+            if own.num_rows == 0:
+                continue
+            lang = np.array([number[x] for x in own["lang"].to_pylist()], "<u4")
+            h = own["hash"].to_numpy().view(np.uint64)
+            order = np.lexsort((lang, h))
+            h = h[order]
+            new = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+            share, weight = (own[c].to_numpy().astype("<f4")[order] for c in ("share", "weight"))
+            sizes = np.diff(np.append(new, len(h))).astype("<i4")
+            out.append((own["part"][0].as_py(), own["piece"][0].as_py(), n, *(x.tobytes() for x in (h[new], sizes, lang[order], share, weight))))
+        return pa.Table.from_batches([batch(BUILT, list(zip(*out)))], BUILT)
+    return run
 
 
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Model:
     """Learn one model per language from every row whose language is not null.
 
-    The n-gram table is as large as the corpus makes it; of it, the most frequent n-grams of each language and order are kept so
-    that the model has at most ``MODEL_CELLS`` cells.
+    The model has every n-gram of the learning documents.  Up to ``HELD_PARTS`` parts of about ``PART_ENTRIES`` entries (n-gram and
+    language) travel with the tasks; the rest stays in the shared folder and is read by the tasks part by part.
     """
+    spark = docs.sparkSession
     learn = docs.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), text_bytes(text_col).alias("text"))
     top = cut_lineage(learn.mapInArrow(_count, spark_schema(GRAMS)).groupBy("lang", "gram").agg(F.sum("n").alias("n")))
     levels = [top]
@@ -139,50 +235,30 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Mode
     discounts = grams.groupBy("lang", "size").agg(F.count_if(F.col("n") == 1).alias("ones"), F.count_if(F.col("n") == 2).alias("twos"))
     discounts = discounts.select("lang", "size", F.greatest(F.lit(0.1), F.least(F.lit(0.9), F.coalesce(
         F.try_divide(F.col("ones"), F.col("ones") + 2 * F.col("twos")), F.lit(0.5)))).alias("d"))
-    by = Window.partitionBy("lang", "size", "context")
-    shared = grams.withColumn("total", F.sum("n").over(by)).withColumn("types", F.count(F.lit(1)).over(by)).join(F.broadcast(discounts), ["lang", "size"])
-    languages = tuple(sorted(r.lang for r in discounts.select("lang").distinct().collect()))
-    most = MODEL_CELLS // (ORDER * max(1, len(languages)) ** 2)
-    frequent = Window.partitionBy("lang", "size").orderBy(F.col("n").desc(), "gram")
-    kept = shared.withColumn("rank", F.row_number().over(frequent)).where(F.col("rank") <= most)
-    kept = kept.select("lang", "size", "gram", ((F.col("n") - F.col("d")) / F.col("total")).alias("share"),
-                       (F.col("d") * F.col("types") / F.col("total")).alias("backoff"), "context").toPandas()
-    return _arrays(languages, kept)
-
-
-def _arrays(languages: tuple[str, ...], kept) -> Model:
-    number = {lang: i for i, lang in enumerate(languages)}
-    n_lang = len(languages)
-    parts = [kept[kept["size"] == n] for n in range(1, ORDER + 1)]
-    # weights of contexts: of an n-gram of order n + 1, at its context of n characters
-    hashes, shares, backoffs = [], [], []
-    for n in range(1, ORDER + 1):
-        own = {}
-        for lang, gram, share in zip(parts[n - 1]["lang"], parts[n - 1]["gram"], parts[n - 1]["share"]):
-            own.setdefault(gram, []).append((number[lang], 0, share))
-        if n < ORDER:
-            above = parts[n].drop_duplicates(["lang", "context"])
-            for lang, gram, weight in zip(above["lang"], above["context"], above["backoff"]):
-                own.setdefault(gram, []).append((number[lang], 1, weight))
-        keys = list(own)
-        if keys:
-            flat = np.array([ord(c) for k in keys for c in k], np.uint64).reshape(-1, n)
-            h = _hash_rows(flat)
-        else:
-            keys, h = [""], np.zeros(1, np.uint64)
-        order = np.argsort(h)
-        share, weight = np.zeros((len(keys), n_lang), np.float32), np.ones((len(keys), n_lang), np.float32)
-        for row, i in enumerate(order):
-            for lang, kind, value in own.get(keys[i], ()):
-                (weight if kind else share)[row, lang] = value
-        hashes.append(h[order])
-        shares.append(share)
-        backoffs.append(weight)
-    letters = max(1, parts[0]["gram"].nunique())
-    floor = np.full(n_lang, UNKNOWN)
-    for lang, weight in zip(parts[0]["lang"], parts[0]["backoff"]):
-        floor[number[lang]] = max(UNKNOWN, weight / letters)
-    return Model(languages, tuple(hashes), tuple(shares), tuple(backoffs), floor)
+    contexts = grams.groupBy("lang", "size", "context").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("types")).join(discounts, ["lang", "size"])
+    contexts = cut_lineage(contexts.withColumn("weight", F.col("d") * F.col("types") / F.col("total")))
+    shares = grams.join(contexts, ["lang", "size", "context"]).select(
+        F.col("size").alias("n"), "gram", "lang", ((F.col("n") - F.col("d")) / F.col("total")).alias("share"), F.lit(None).cast("double").alias("weight"))
+    weights = contexts.where("size > 1").select((F.col("size") - 1).alias("n"), F.col("context").alias("gram"), "lang", F.lit(None).cast("double").alias("share"), "weight")
+    entries = cut_lineage(shares.unionByName(weights).groupBy("n", "gram", "lang").agg(
+        F.coalesce(F.max("share"), F.lit(0.0)).alias("share"), F.coalesce(F.max("weight"), F.lit(1.0)).alias("weight")))
+
+    lowest = {r.lang: r.weight for r in contexts.where("size = 1").select("lang", "weight").collect()}
+    languages = tuple(sorted(lowest))
+    letters = max(1, grams.where("size = 1").select("gram").distinct().count())
+    floor = np.array([max(UNKNOWN, lowest[lang] / letters) for lang in languages])
+    found = entries.count()
+    parts, pieces = max(1, -(-found // PART_ENTRIES)), max(1, -(-min(found, PART_ENTRIES) // PIECE_ENTRIES))
+    # an entry serves as n-gram where its letter before the last one says, and as context where its last one does
+    last, before = (F.ascii(F.expr(f"substring(gram, -{i}, 1)")) % parts for i in (1, 2))
+    homes = F.when(F.col("n") == 1, F.sequence(F.lit(0), F.lit(parts - 1))).when(F.col("n") == ORDER, F.array(before)).otherwise(F.array_distinct(F.array(last, before)))
+    path = durable_path(spark, "language")
+    hashed = entries.withColumn("homes", homes).mapInArrow(_hash(pieces), spark_schema(HASHED)).withColumn("part", F.explode("homes")).drop("homes")
+    built = hashed.groupBy("part", "piece").applyInArrow(_build({lang: i for i, lang in enumerate(languages)}), spark_schema(BUILT))
+    built.write.partitionBy("part").parquet(path)
+    held = min(parts, HELD_PARTS) if languages else 0
+    stored = spark.read.schema(spark_schema(BUILT)).parquet(path) if held else None
+    return Model(languages, parts, tuple(part_of(stored.where(F.col("part") == i).drop("part").toArrow()) for i in range(held)), path, floor)
 
 
 def _hash_rows(chars: np.ndarray) -> np.ndarray:
@@ -195,15 +271,19 @@ def _hash_rows(chars: np.ndarray) -> np.ndarray:
 
 
 def _score(schema: pa.Schema, model: Model):
+    n_lang = len(model.languages)
+    most_words = min(CACHE_WORDS, CACHE_CELLS // max(1, n_lang))
+    # parts that are read again for every lot of words are read for larger lots
+    most_bytes = HELD_BYTES * (1 if model.parts <= len(model.held) else 16)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n_lang = len(model.languages)
         tokens: dict[str, int] = {}
         nats, letters = np.zeros((0, n_lang)), np.zeros(0, np.int64)
         out = Out(schema)
 
         def learn(new: list[str]) -> None:
             nonlocal nats, letters
-            if len(tokens) > CACHE_WORDS:
+            if len(tokens) > most_words:
                 tokens.clear()
                 nats, letters = nats[:0], letters[:0]
             found = [LETTERS.findall(t) for t in new]
@@ -224,7 +304,7 @@ def _score(schema: pa.Schema, model: Model):
 
         def scored(held: list[tuple]) -> Iterator[pa.RecordBatch]:
             split = [raw.decode("utf-8", "replace").lower().split() for _, raw in held]
-            if len(tokens) > CACHE_WORDS:
+            if len(tokens) > most_words:
                 tokens.clear()
                 learn([])
             learn(list({t for s in split for t in s if t not in tokens}))
@@ -245,7 +325,7 @@ def _score(schema: pa.Schema, model: Model):
         for row in rows(batches, "doc_id", "text"):
             held.append(row)
             size += len(row[1])
-            if size > 1 << 20:
+            if size > most_bytes:
                 yield from scored(held)
                 held, size = [], 0
         yield from scored(held)

@@ -60,6 +60,34 @@ def test_brute_force(docs):
             assert scores[i, j] == pytest.approx(want, rel=1e-4)
 
 
+def test_many_languages_in_parts(docs, monkeypatch):
+    """60 languages: no n-gram is lost, and a model in many parts, most of them read from the shared folder, gives the same numbers."""
+    rng = np.random.default_rng(7)
+    texts = {f"l{i:02}": " ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyzäöü日語𝒜"), rng.integers(1, 9))) for _ in range(60)) for i in range(60)}
+    rows = [(i, t, lang) for i, (lang, t) in enumerate(texts.items())]
+    whole = la.fit(docs(*rows))
+    assert whole.parts == 1 and len(whole.languages) == 60
+    words = [w for t in list(texts.values())[:3] for w in t.split()] + ["zzz", "語𝒜", "q"]
+    scores, sizes = whole.word_scores(words)
+    letters = len(set("".join(texts.values())) - {" "}) + 1
+    for j in (0, 1, 59):
+        m = brute_model([texts[whole.languages[j]]])
+        for i in range(0, len(words), 17):
+            s = la.START * (la.ORDER - 1) + words[i] + la.END
+            want = -sum(math.log(brute_p(m, letters, s[k - la.ORDER + 1:k], s[k])) for k in range(la.ORDER - 1, len(s)))
+            assert scores[i, j] == pytest.approx(want, rel=1e-4)
+    got = {r.doc_id: r for r in la.identify(docs(*rows), whole).collect()}
+    assert all(got[i].lang_pred == lang for i, _, lang in rows)
+    for name, value in (("PART_ENTRIES", 3000), ("PIECE_ENTRIES", 700), ("SCORE_CELLS", 900), ("CACHE_CELLS", 600), ("HELD_BYTES", 100)):
+        monkeypatch.setattr(la, name, value)
+    split = la.fit(docs(*rows))
+    assert split.parts > 5 and len(split.held) == la.HELD_PARTS
+    again, more = split.word_scores(words)
+    assert np.allclose(again, scores, rtol=1e-6) and more.tolist() == sizes.tolist()
+    for r in la.identify(docs(*rows), split).collect():
+        assert (r.lang_pred, r.score) == (got[r.doc_id].lang_pred, pytest.approx(got[r.doc_id].score))
+
+
 def test_probabilities_sum_to_one(docs):
     model = la.fit(docs(*[(i, t, "en") for i, t in enumerate(TEXTS["en"])]))
     letters = sorted({c for t in TEXTS["en"] for w in la.LETTERS.findall(t.lower()) for c in w} | {la.END})
