@@ -160,13 +160,18 @@ class Model:
         chars, of = word_matrix(words)
         hashes = gram_hashes(chars)
         ends = np.flatnonzero(chars != ord(START))
+        word = of[ends]
+        # the longest n-gram has all shorter ones and contexts in it, so each different one is looked up once
+        _, first, back = np.unique(hashes[ORDER - 1][ends], return_index=True, return_inverse=True)
+        different = ends[first]
         total = np.zeros((len(words), len(self.languages)))
-        home = chars[ends - 1] % np.uint64(self.parts)
+        home = chars[different - 1] % np.uint64(self.parts)
         most = max(1, SCORE_CELLS // len(self.languages))
         for i in np.unique(home).tolist():
-            part, mine = self.part(i), ends[home == i]
-            for first in range(0, len(mine), most):
-                at = mine[first:first + most]
+            part, mine = self.part(i), np.flatnonzero(home == i)
+            for lo in range(0, len(mine), most):
+                grams = mine[lo:lo + most]
+                at = different[grams]
                 p = np.tile(self.floor, (len(at), 1))
                 for n in range(ORDER):
                     if n:  # the context is the shorter n-gram that ends a place earlier
@@ -174,9 +179,16 @@ class Model:
                         p[place, part.languages[n - 1][entry]] *= part.weights[n - 1][entry]
                     place, entry = part.entries(n, hashes[n][at])
                     p[place, part.languages[n][entry]] += part.shares[n][entry]
-                new = np.flatnonzero(np.append(True, np.diff(of[at]) != 0))
-                total[of[at[new]]] += np.add.reduceat(-np.log(np.maximum(p, 1e-12)), new, axis=0)
-        return total, np.bincount(of[ends], minlength=len(words))
+                nats = -np.log(np.maximum(p, 1e-12))
+                row = np.full(len(different), -1)
+                row[grams] = np.arange(len(grams))
+                letters = row[back]
+                places = np.flatnonzero(letters >= 0)
+                for begin in range(0, len(places), most):
+                    some = places[begin:begin + most]
+                    new = np.flatnonzero(np.append(True, np.diff(word[some]) != 0))
+                    total[word[some[new]]] += np.add.reduceat(nats[letters[some]], new, axis=0)
+        return total, np.bincount(word, minlength=len(words))
 
 
 def _hash(pieces: int):
