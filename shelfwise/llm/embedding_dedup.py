@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import itertools
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +22,7 @@ from shelfwise.llm.common import batch, mix, spark_schema
 from shelfwise.llm.graph import components, spanning
 from shelfwise.session import cut_lineage
 
+MISSED = 1e-6  # share of pairs at the threshold that no table finds
 UNIT = 256  # vectors of a group that are compared as one block
 
 
@@ -81,11 +82,31 @@ class Lattice:
         return homes, homes[:, None] + np.concatenate(changes, axis=1)
 
 
+def meeting_share(lattice: Lattice, cosine: float = 0.98, trials: int = 20_000) -> float:
+    """How often two vectors of this cosine meet in one table: home cells are equal, or a probe of one is the other's home."""
+    rng = np.random.default_rng(lattice.seed)
+    x, other = rng.normal(size=(2, trials, 8)) * lattice.scale  # projections of unit vectors at random
+    z = cosine * x + np.sqrt(1 - cosine ** 2) * other
+    points = nearest_e8(x), nearest_e8(z)
+    same = (points[0] == points[1]).all(axis=1)
+    probed = np.zeros(trials, bool)
+    for y, own, wanted in ((x, *points), (z, *points[::-1])):
+        order = np.argpartition(-((y - own) @ NEIGHBOURS.T), lattice.probes, axis=1)[:, :lattice.probes]
+        probed |= (own[:, None] + NEIGHBOURS[order] == wanted[:, None]).all(axis=2).any(axis=1)
+    home, near = same.mean(), (probed & ~same).mean()
+    return float(home ** lattice.blocks + lattice.blocks * home ** (lattice.blocks - 1) * near)
+
+
 def lattice_for(rows: int) -> Lattice:
-    """Cells small enough for so many rows; two vectors of cosine 0.98 miss each other in all tables about once in a million times."""
+    """Cells small enough for so many rows; two vectors of cosine 0.98 miss each other in all tables about once in a million times.
+
+    A block of the coarser lattice tells about 2^14 cells apart, so their number grows with the logarithm of the rows, and the
+    number of tables follows from how rarely all blocks agree.
+    """
     if rows <= 1_000_000:
         return Lattice(blocks=1, scale=1.2, probes=8, tables=7)
-    return Lattice(blocks=2, scale=0.8, probes=8, tables=14)
+    one = Lattice(blocks=max(2, -(-(rows - 1).bit_length() // 14)), scale=0.8, probes=8, tables=1)
+    return replace(one, tables=int(np.ceil(np.log(MISSED) / np.log(1 - meeting_share(one)))))
 
 
 GROUPS = pa.schema([("key", pa.int64()), ("n", pa.int64()), ("group", pa.int64()), ("vector", pa.binary())])

@@ -55,6 +55,8 @@ def test_brute_force(spark, monkeypatch):
     assert got == brute(rows)
     two = sorted(tuple(r) for r in ed.near_vectors(df.repartition(5), lattice=ed.Lattice(2, 0.8, 8, 14)).collect())
     assert two == got
+    finer = sorted(tuple(r) for r in ed.near_vectors(df, lattice=ed.lattice_for(10 ** 9)).collect())
+    assert finer == got
 
 
 def test_empty(spark):
@@ -72,7 +74,7 @@ def test_lattice_points():
     assert all(((y - p)[:, None] - ed.NEIGHBOURS).__pow__(2).sum(axis=2).min(axis=1) >= d - 1e-9)
 
 
-@pytest.mark.parametrize("rows", [1000, 10 ** 9])
+@pytest.mark.parametrize("rows", [1000, 10 ** 8, 10 ** 9, 10 ** 13])
 def test_recall_at_the_threshold(rows):
     lattice = ed.lattice_for(rows)
     rng = np.random.default_rng(1)
@@ -88,6 +90,13 @@ def test_recall_at_the_threshold(rows):
         met = (hx == hz) | (px == hz[:, None]).any(axis=1) | (pz == hx[:, None]).any(axis=1)
         missed *= 1 - met.mean()
     assert missed[0] < 5e-6
+    assert ed.meeting_share(lattice) == pytest.approx(1 - missed[0] ** (1 / lattice.tables), abs=0.03)
+
+
+def test_lattice_grows_with_the_rows():
+    got = [ed.lattice_for(2 ** b) for b in range(10, 60, 4)]
+    assert [x.blocks for x in got] == sorted(x.blocks for x in got) and got[0].blocks == 1 and got[-1].blocks == 5
+    assert all(x.tables == ed.lattice_for(2 ** 30).tables for x in got if x.blocks == 3)
 
 
 def test_components(spark):
