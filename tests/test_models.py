@@ -106,6 +106,24 @@ def test_top_matches_both_ways(spark, broadcast_bytes):
         assert got[f"q{i}"] == [iid for _, iid in s[:6]]
 
 
+@pytest.mark.parametrize("part_bytes", [1 << 20, 4000])
+def test_top_matches_reads_cells_instead_of_shuffling_pairs(spark, part_bytes):
+    rng = np.random.default_rng(8)
+    q, it = np.round(rng.normal(size=(60, 3))), np.round(rng.normal(size=(900, 3)), 1)  # many ties
+    q[:3], it[::9] = 0, 0
+    queries = spark.createDataFrame([(f"q{i}", v.tolist()) for i, v in enumerate(q)], "qid string, vec array<double>")
+    items = spark.createDataFrame([(f"i{j:03d}", v.tolist()) for j, v in enumerate(it)], "iid string, vec array<double>")
+    banned = spark.createDataFrame([("q1", f"i{j:03d}") for j in range(898)], "qid string, iid string")
+    out = blocks.top_matches(queries, items, 6, 3, banned, 0, part_bytes=part_bytes)
+    assert "CoGroup" not in out._jdf.queryExecution().toString()
+    got = {}
+    for r in out.orderBy("qid", "rank").collect():
+        got.setdefault(r.qid, []).append(r.iid)
+    for i in range(60):
+        s = sorted((-round(float(q[i] @ it[j]), 9) + 0.0, f"i{j:03d}") for j in range(900) if i != 1 or j >= 898)
+        assert got[f"q{i}"] == [iid for _, iid in s[:6]]
+
+
 @pytest.mark.parametrize("ratio, block_rows", [(2.0, 2048), (2.0, 5), (0.0, 7), (1.5, 1000)])
 def test_similar_products_brute_force(spark, ratio, block_rows):
     rng = np.random.default_rng(6)
