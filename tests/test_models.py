@@ -148,6 +148,19 @@ def test_similar_products_brute_force(spark, ratio, block_rows):
         assert got.get(a[0], []) == [x for _, x in s[:4]]
 
 
+def test_similar_products_shuffles_numbers_of_blocks(spark):
+    data = [(f"p{i:03d}", None, 1.0 + i % 3, [f"f{i % 4}", "g"], [0.6, 0.8]) for i in range(90)]
+    df = spark.createDataFrame(data, "product_id string, grp string, price double, feats array<string>, vals array<double>")
+    out = blocks.similar_products(df, 3, 2.0, 7)
+    assert "CoGroup" not in out._jdf.queryExecution().toString()
+    got = {}
+    for r in out.orderBy("product_id", "rank").collect():
+        got.setdefault(r.product_id, []).append((r.other_id, r.score))
+    for a in data:
+        s = sorted((-(1.0 if a[3] == b[3] else 0.64), b[0]) for b in data if a[0] != b[0] and a[2] / 2 <= b[2] <= a[2] * 2)
+        assert got[a[0]] == [(x, -v) for v, x in s[:3]]
+
+
 def test_hybrid_without_history_is_content(make):
     c = make("customer_id string, product_id string, rank int", ("a", "x", 1), ("a", "y", 2), ("b", "y", 1), ("b", "x", 2))
     cf = make("customer_id string, product_id string, rank int", ("a", "y", 1), ("a", "z", 2))
