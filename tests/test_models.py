@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from helpers import rows
 from shelfwise.config import Feature
@@ -161,6 +162,17 @@ def test_similar_products_shuffles_numbers_of_blocks(spark):
         assert got[a[0]] == [(x, -v) for v, x in s[:3]]
 
 
+def test_similar_products_with_blocks_that_the_hash_leaves_empty(spark):
+    df = spark.range(200).select(F.col("id").cast("string").alias("product_id"), F.lit("g").alias("grp"), F.lit(1.0).alias("price"),
+                                 F.array(F.lit("f")).alias("feats"), F.array(F.lit(1.0)).alias("vals"))
+    df = df.where(F.pmod(F.xxhash64("product_id"), F.lit(4)) == 0)
+    ids = sorted(r.product_id for r in df.collect())
+    got = {}
+    for r in blocks.similar_products(df, 2, 2.0, len(ids) - 1).orderBy("product_id", "rank").collect():
+        got.setdefault(r.product_id, []).append(r.other_id)
+    assert got == {i: [x for x in ids if x != i][:2] for i in ids}
+
+
 def test_hybrid_without_history_is_content(make):
     c = make("customer_id string, product_id string, rank int", ("a", "x", 1), ("a", "y", 2), ("b", "y", 1), ("b", "x", 2))
     cf = make("customer_id string, product_id string, rank int", ("a", "y", 1), ("a", "z", 2))
