@@ -6,6 +6,7 @@ from helpers import rows
 from shelfwise.config import Feature
 from shelfwise.operators import blocks, content, factors, ranking
 from shelfwise.plans import tenant_run
+from shelfwise.session import durable_dir
 
 
 def test_content_keeps_owned(make):
@@ -50,6 +51,23 @@ def test_svd_converges_beyond_its_basis(spark, monkeypatch, dense_bytes, product
     assert np.allclose(v @ v.T, vt[:3].T @ vt[:3], atol=2e-3)
 
 
+def test_svd_with_stored_vectors_keeps_only_the_last_ones(spark, monkeypatch):
+    """Many ranges on both sides, one of them without cells; what a step replaces is gone from the shared folder."""
+    import glob
+
+    monkeypatch.setattr(factors, "STORED_BYTES", 8 * 7 * 3 * 5)
+    x, df = random_matrix(spark, 90, 37, seed=11, density=0.2)
+    before = set(glob.glob(f"{durable_dir(spark)}/shelfwise/*/*"))
+    model = factors.svd_fit(df, 3, oversample=4, tolerance=1e-9, dense_bytes=0)
+    left = set(glob.glob(f"{durable_dir(spark)}/shelfwise/*/*")) - before
+    assert not [p for p in left if "/vectors-" in p or "/cells-" in p] and len(left) < 12
+    got = {r.product_id: r.vec for r in model.products.collect()}
+    v = np.array([got[f"p{j:02d}"] for j in range(x.shape[1])])
+    _, s, vt = np.linalg.svd(x, full_matrices=False)
+    assert np.allclose(model.singular, s[:3], rtol=1e-9)
+    assert np.allclose(v @ v.T, vt[:3].T @ vt[:3], atol=1e-7)
+
+
 @pytest.mark.parametrize("dense_bytes", [None, 8 * 7 * 25])
 def test_svd_per_scope(spark, dense_bytes):
     """Scopes of different size share their passes (or are split over several) and each gets the factors it has alone."""
