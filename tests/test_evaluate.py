@@ -69,3 +69,17 @@ def test_trailing_count(spark):
     df = spark.createDataFrame(data, "k string, s long").selectExpr("k", "timestamp_seconds(s) ts", "s")
     for r in keyed.trailing_count(df, ["k"], "ts", 60, "n").collect():
         assert r.n == sum(1 for k, s in data if k == r.k and r.s - 60 < s <= r.s)
+
+
+def test_trailing_count_does_not_walk_its_window(spark):
+    """A busy key: one running sum a slot instead of a frame that is added up again for every row."""
+    rng = np.random.default_rng(3)
+    at = np.sort(rng.integers(0, 400, 600))
+    data = [(i, int(t), "a" if i % 5 else "b") for i, t in enumerate(at)]
+    df = spark.createDataFrame(data, "id int, s long, k string").selectExpr("id", "timestamp_seconds(s) ts", "k")
+    out = keyed.trailing_count(df, ["k"], "ts", 60, "n")
+    assert "RangeFrame, -" not in out._jdf.queryExecution().toString()
+    assert out.columns == ["id", "ts", "k", "n"]
+    key = np.array(["a" if i % 5 else "b" for i in range(600)])
+    for r in out.collect():
+        assert r.n == ((key == r.k) & (at <= at[r.id]) & (at > at[r.id] - 60)).sum()
