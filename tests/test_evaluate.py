@@ -83,3 +83,14 @@ def test_trailing_count_does_not_walk_its_window(spark):
     key = np.array(["a" if i % 5 else "b" for i in range(600)])
     for r in out.collect():
         assert r.n == ((key == r.k) & (at <= at[r.id]) & (at > at[r.id] - 60)).sum()
+
+
+def test_examples_rank_only_the_customers_they_show(spark, sf):
+    from shelfwise.plans import core_queries
+
+    _, test, lists = core_queries.two_models(spark, sf, first=3)
+    chosen = {r.customer_id for r in evaluate.first_customers(test, 3).select("customer_id").distinct().collect()}
+    got = {tuple(r) for r in lists.collect()}
+    assert {r[0] for r in got} <= chosen and len(chosen) == 3
+    _, _, every = core_queries.two_models(spark, sf)
+    assert got == {tuple(r) for r in every.collect() if r.customer_id in chosen}
