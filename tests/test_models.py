@@ -317,3 +317,28 @@ def test_profiles_in_one_pass(spark, make):
     assert np.allclose(got["p"], [2.0, 1.0]) and got["q"] == [0.0, 0.0]
     wide = make("customer_id string, vec array<double>", ("a", [1.0] * 70), ("b", [4.0] * 70))
     assert np.allclose({r.product_id: r.vec for r in content.product_profiles(inter, wide, 70).collect()}["p"], [2.0] * 70)
+
+
+def test_negatives_draw_again_only_where_needed(spark, monkeypatch):
+    import hashlib
+
+    owned = [(f"c{i}", f"p{j}") for i in range(12) for j in range(10) if (i + j) % (i + 1) or j == i % 10]
+    customers = spark.createDataFrame([(f"c{i}",) for i in range(12)], "customer_id string")
+    products = spark.createDataFrame([(f"p{j}",) for j in range(10)], "product_id string")
+    sizes, cut = [], ranking.cut_lineage
+
+    def counted(df):
+        out = cut(df)
+        if "_owned" in out.columns:
+            sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(ranking, "cut_lineage", counted)
+    out = ranking.sampled_pairs(customers, products, spark.createDataFrame(owned + owned[:9], "customer_id string, product_id string"), None)
+    got = sorted(tuple(r) for r in out.where("target = 0").collect())
+    assert len(sizes) > 1 and sizes[0] == len(owned) and all(a > b for a, b in zip(sizes, sizes[1:]))
+    wanted = []
+    for c, p in owned:
+        picks = [f"p{int(hashlib.md5(f'42|{c}|{p}|{t}'.encode()).hexdigest()[:13], 16) % 10}" for t in range(1, 6)]
+        wanted += [(c, x, 0) for x in [x for x in picks if (c, x) not in owned][:1]]
+    assert got == sorted(wanted)
