@@ -342,3 +342,25 @@ def test_negatives_draw_again_only_where_needed(spark, monkeypatch):
         picks = [f"p{int(hashlib.md5(f'42|{c}|{p}|{t}'.encode()).hexdigest()[:13], 16) % 10}" for t in range(1, 6)]
         wanted += [(c, x, 0) for x in [x for x in picks if (c, x) not in owned][:1]]
     assert got == sorted(wanted)
+
+
+def test_large_groups_read_cells(spark, monkeypatch):
+    """Groups beyond the limit get cells of their own; smaller ones and vectors of another length stay with blocks."""
+    monkeypatch.setattr(blocks, "BROADCAST_ROWS", 40)
+    calls, blocked = [], blocks._blocked
+    monkeypatch.setattr(blocks, "_blocked", lambda *a: calls.append(a[3]) or blocked(*a))
+    rng = np.random.default_rng(4)
+    qs, its, wanted = [], [], {}
+    for g, (n, m, d) in {"a": (15, 90, 3), "b": (8, 12, 2), "c": (9, 70, 4)}.items():
+        q, it = np.round(rng.normal(size=(n, d)), 1), np.round(rng.normal(size=(m, d)), 1)
+        qs += [(g, f"{g}q{i}", v.tolist()) for i, v in enumerate(q)]
+        its += [(g, f"{g}i{j:02d}", v.tolist()) for j, v in enumerate(it)]
+        for i in range(n):
+            wanted[f"{g}q{i}"] = [x for _, x in sorted((-round(float(q[i] @ it[j]), 9), f"{g}i{j:02d}") for j in range(m) if j != i)[:5]]
+    banned = [(q, f"{q[0]}i{int(q[2:]):02d}") for q in wanted]
+    out = blocks.top_matches(spark.createDataFrame(qs, "grp string, qid string, vec array<double>"), spark.createDataFrame(its, "grp string, iid string, vec array<double>"),
+                             5, None, spark.createDataFrame(banned, "qid string, iid string"), grouped=True)
+    got = {}
+    for r in out.orderBy("qid", "rank").collect():
+        got.setdefault(r.qid, []).append(r.iid)
+    assert got == wanted and calls == [3, 4]
