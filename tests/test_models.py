@@ -310,11 +310,11 @@ def test_many_values(spark):
 def test_profiles_in_one_pass(spark, make):
     """Means over interactions without a list of distinct pairs; products of unknown customers only get zeros."""
     vectors = make("customer_id string, vec array<double>", ("a", [1.0, 2.0]), ("b", [4.0, -1.0]))
-    inter = make("customer_id string, product_id string", ("a", "p"), ("a", "p"), ("b", "p"), ("x", "p"), ("x", "q"))
+    inter = make("customer_id string, product_id string", ("a", "p"), ("a", "p"), ("b", "p"), ("x", "p"), ("x", "q"), ("a", None))
     out = content.product_profiles(inter, vectors, 2)
     assert out._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
     got = {r.product_id: r.vec for r in out.collect()}
-    assert np.allclose(got["p"], [2.0, 1.0]) and got["q"] == [0.0, 0.0]
+    assert np.allclose(got["p"], [2.0, 1.0]) and got["q"] == got[None] == [0.0, 0.0]
     wide = make("customer_id string, vec array<double>", ("a", [1.0] * 70), ("b", [4.0] * 70))
     assert np.allclose({r.product_id: r.vec for r in content.product_profiles(inter, wide, 70).collect()}["p"], [2.0] * 70)
 
