@@ -212,6 +212,37 @@ def test_ranking(make):
         assert np.isclose(r.score, direct[r.customer_id, r.product_id], atol=1e-6)
 
 
+def test_ranking_by_kind(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    customers = spark.createDataFrame([(f"c{i:02d}", int(rng.integers(0, 40))) for i in range(40)], "customer_id string, tenure int")
+    products = spark.createDataFrame([(f"p{i:03d}", "abc"[i % 3], float(rng.integers(1, 9))) for i in range(120)], "product_id string, category string, price double")
+    pairs = {(f"c{i:02d}", f"p{j:03d}") for i in range(39) for j in rng.choice(120, 1 + i % 7, replace=False)}
+    pairs |= {("c00", f"p{j:03d}") for j in range(117)}  # has nearly all, so it gets three
+    known = spark.createDataFrame(sorted(pairs), "customer_id string, product_id string")
+    features = [Feature("price"), Feature("category", "categorical", ("a", "b", "c"), "one_hot")]
+    model = ranking.fit(customers, products, known, [Feature("tenure")], features, trees=4)
+    plain = sorted((r.customer_id, r.rank, r.product_id, r.score) for r in ranking.top_products(model, 5).collect())
+    assert [len([r for r in plain if r[0] == c]) for c in ("c00", "c39")] == [3, 5]
+
+    def fail(*args, **kwargs):
+        raise AssertionError("many products are ranked by kind")
+
+    with monkeypatch.context() as many:
+        many.setattr(blocks, "BROADCAST_ROWS", 50)
+        many.setattr(ranking, "BROADCAST_ROWS", 50, raising=False)
+        many.setattr(blocks, "_blocked", fail)
+        assert [r[:3] for r in sorted((r.customer_id, r.rank, r.product_id, r.score) for r in ranking.top_products(model, 5).collect())] == [r[:3] for r in plain]
+        twice = ranking.RankingModel(model.model, model.customers, model.products.unionByName(model.products.where("product_id < 'p010'")), model.known)
+        got = [(r.customer_id, r.product_id) for r in ranking.top_products(twice, 5).collect()]
+        assert not set(got) & pairs
+    with monkeypatch.context() as many:  # too many kinds
+        many.setattr(blocks, "BROADCAST_ROWS", 50)
+        many.setattr(ranking, "BROADCAST_ROWS", 50)
+        many.setattr(ranking, "MAX_KINDS", 1)
+        got = sorted((r.customer_id, r.rank, r.product_id, r.score) for r in ranking.top_products(model, 5).collect())
+        assert [r[:3] for r in got] == [r[:3] for r in plain] and np.allclose([r[3] for r in got], [r[3] for r in plain])
+
+
 def test_sampled_pairs_are_free(spark):
     _, df = random_matrix(spark, seed=7)
     customers = df.select("customer_id").distinct()
