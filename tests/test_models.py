@@ -284,6 +284,60 @@ def test_boosted_trees():
     assert np.isinf(flat["limit"]).all()
 
 
+def test_ranking_fits_on_all_known_pairs(spark):
+    """More known pairs than 50,000: each is a training row, and the stored trees score pairs as their leaves do."""
+    from shelfwise.operators import boost
+
+    customers = spark.range(300).selectExpr("concat('c', id) AS customer_id", "CAST(id % 17 AS DOUBLE) AS tenure")
+    products = spark.range(400).selectExpr("concat('p', id) AS product_id", "CAST(id % 5 AS DOUBLE) AS price")
+    known = customers.crossJoin(products).where("crc32(concat(customer_id, product_id)) % 100 < CASE WHEN price > 2 THEN 70 ELSE 30 END").select("customer_id", "product_id")
+    total = known.count()
+    assert total > 52_000
+    assert ranking.sampled_pairs(customers, products, known).where("target = 1").count() == total
+    one_tenant = [df.withColumn("tenant_id", F.lit("t")) for df in (customers, products, known)]
+    assert boost.sampled_pairs(*one_tenant).where("target = 1").count() == total
+    model = ranking.fit(customers, products, known, [Feature("tenure")], [Feature("price")], trees=6)
+    scores = {(r.customer_id, r.product_id): r.score for r in ranking.score_pairs(model, customers.crossJoin(products)).collect()}
+    mean = {high: np.mean([v for (_, p), v in scores.items() if (int(p[1:]) % 5 > 2) == high]) for high in (True, False)}
+    assert mean[True] > mean[False] + 0.1
+    top = ranking.top_products(model, 3).collect()
+    assert len(top) == 900 and all(np.isclose(r.score, scores[r.customer_id, r.product_id]) for r in top)
+
+
+def test_stored_trees_are_those_of_one_task(spark, monkeypatch):
+    from shelfwise.operators import boost, trees
+
+    monkeypatch.setattr(trees, "CHUNK_ROWS", 300)
+    rng = np.random.default_rng(5)
+    data, plain = [], []
+    for s, n in enumerate((4000, 900)):
+        x = np.column_stack([np.round(rng.normal(size=n), 2), rng.integers(0, 4, n), rng.normal(size=n), np.ones(n)])
+        y = (rng.random(n) < 1 / (1 + np.exp(-(x[:, 0] + (x[:, 1] == 2) - 0.5 * (x[:, 2] > 0.2))))).astype(float)
+        order = np.lexsort((*x.T, y))
+        plain.append(boost.fit_trees(x[order], y[order], 7, 3, 0.3))
+        data += [(s, int(b), a.tolist(), i * 7919) for i, (a, b) in enumerate(zip(x, y))]
+    frame = spark.createDataFrame(data, "scope int, target int, x array<double>, key long")
+    for got, want in zip(trees.fit_stored(frame, 2, 7, 3, 0.3), plain):
+        assert np.array_equal(got["feature"], want["feature"]) and np.array_equal(got["limit"], want["limit"]) and np.allclose(got["value"], want["value"])
+
+
+def test_tenant_trees_take_all_pairs(make):
+    from shelfwise.operators import boost
+
+    people, goods, facts = tenants_data(make)
+    key = lambda df, *ids: df.select("tenant_id", *[F.concat("tenant_id", c).alias(c) for c in ids], *[c for c in df.columns if c not in ("tenant_id", *ids)])
+    people = key(people, "customer_id")
+    goods = key(goods.crossJoin(people.select("tenant_id").distinct()), "product_id")
+    facts = key(facts, "customer_id", "product_id").distinct()
+    every = facts.join(people, "customer_id", "left_semi").join(goods, "product_id", "left_semi").count()
+    assert boost.sampled_pairs(people, goods, facts).where("target = 1").count() == every
+    one, many = (boost.fit(people, goods, facts, [Feature("tenure")], [Feature("price")], trees=4, task_rows=n).collect() for n in (1000, 50))
+    one, many = ({r.tenant_id: (boost.unpack(bytes(r.model)), r.n_customer) for r in m} for m in (one, many))
+    assert set(one) == set(many) == {"a", "b", "c"}
+    for t, (m, n) in one.items():
+        assert n == many[t][1] and all(np.allclose(m[k], many[t][0][k]) for k in m)
+
+
 def tenants_data(make):
     people = make("customer_id string, tenant_id string, tenure int, plan string", *[
         (str(i), t, (7 * i) % 11, "ab"[i % 2] if t != "c" else None) for t in "abc" for i in range(30 if t != "c" else 4)])
