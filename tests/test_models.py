@@ -68,6 +68,16 @@ def test_svd_with_stored_vectors_keeps_only_the_last_ones(spark, monkeypatch):
     assert np.allclose(v @ v.T, vt[:3].T @ vt[:3], atol=1e-7)
 
 
+def test_stored_svd_with_equal_singular_values(spark):
+    """Three copies of a matrix on one diagonal: vectors that have converged must not let rounding errors in beside the slow ones."""
+    rng = np.random.default_rng(3)
+    x = (rng.random((200, 100)) < 0.9) * rng.integers(1, 4, (200, 100))
+    data = [(f"{b}c{i}", f"{b}p{j:02d}") for b in range(3) for i in range(200) for j in range(100) for _ in range(x[i, j])]
+    df = spark.createDataFrame(data, "customer_id string, product_id string")
+    model = factors.svd_fit(df, 12, oversample=1, dense_bytes=0)
+    assert np.allclose(model.singular, np.repeat(np.linalg.svd(x, compute_uv=False)[:4], 3), rtol=1e-6)
+
+
 @pytest.mark.parametrize("dense_bytes", [None, 8 * 7 * 25])
 def test_svd_per_scope(spark, dense_bytes):
     """Scopes of different size share their passes (or are split over several) and each gets the factors it has alone."""
